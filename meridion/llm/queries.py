@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from meridion.llm import mixing
 from meridion.llm.common import table
 from meridion.llm.mixing import mixing_plan
+from meridion.llm.packing import pack
+from meridion.llm.sharding import shard
 from meridion.llm.token_counts import count_tokens
 from meridion.llm.url_filter import judge_urls
 
@@ -28,6 +30,14 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"))
 
 
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard(table(spark, sf_dir, "documents"), shards=24, overhead=8)
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), capacity=4096, end_id=1)
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing_plan(table(spark, sf_dir, "documents"))
     return plan.select("doc_id", "size", "source_size", F.round("target", 3).alias("target"), (F.col("size") * F.col("copies")).alias("taken"))
@@ -36,6 +46,8 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
     "op3_url_filter": op3_url_filter,
+    "op5_sharding": op5_sharding,
+    "op9_packing": op9_packing,
     "op10_mixing": op10_mixing,
 }
 
