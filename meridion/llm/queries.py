@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 
 from meridion.llm import mixing
 from meridion.llm.common import table
+from meridion.llm.embedding_dedup import near_duplicates
 from meridion.llm.mixing import mixing_plan
 from meridion.llm.packing import pack
 from meridion.llm.sharding import shard
 from meridion.llm.token_counts import count_tokens
 from meridion.llm.url_filter import judge_urls
+from meridion.llm.vptree import index, nearest
 
 
 def tokenizer(name: str) -> str:
@@ -22,6 +24,10 @@ def tokenizer(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), limit=1024)
 
@@ -34,6 +40,11 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents"), shards=24, overhead=8)
 
 
+def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return nearest(index(rows), rows.where(F.col("vec_id") % 20 == 0), k=20, factor=1.0)
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), capacity=4096, end_id=1)
 
@@ -44,9 +55,11 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_embedding_dedup": op1_embedding_dedup,
     "op2_token_counts": op2_token_counts,
     "op3_url_filter": op3_url_filter,
     "op5_sharding": op5_sharding,
+    "op7_nearest_neighbours": op7_nearest_neighbours,
     "op9_packing": op9_packing,
     "op10_mixing": op10_mixing,
 }
