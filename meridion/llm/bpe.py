@@ -25,6 +25,9 @@ BYTE_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|
 #: Words longer than this are encoded in arrays of their own, so that the shared table's keys stay short.
 LONG = 64
 
+#: A change of the count as a signed byte.
+CHANGE = {n: bytes([n & 255]) for n in range(-127, 128)}
+
 
 def byte_alphabet() -> list[str]:
     """The printable character for each byte: itself where it is printable, else the next one from 256 on."""
@@ -54,8 +57,15 @@ class PrefixTable:
             self.rank[made] = rank
             self.parts[made] = (a, b)
         self.longest = max(self.length)
+        #: Every end of a token, with the token's id where the end is a token itself.
+        self.ends: dict[str, int] = {}
+        for piece in self.vocab:
+            if not self.suffix or not piece.endswith(self.suffix):
+                for start in range(1, len(piece)):
+                    self.ends.setdefault(piece[start:], -1)
+        self.ends.update((piece, i) for piece, i in self.vocab.items() if not self.suffix or not piece.endswith(self.suffix))
         self.most = most_prefixes
-        self.table: dict[str, tuple[int, int]] = {}
+        self.table: dict[str, tuple[int, int, bytes]] = {}
         self.fits: dict[int, bool] = {}
         self.whole: dict[int, bool] = {}
         alphabet = byte_alphabet()
@@ -116,34 +126,46 @@ class PrefixTable:
                 lasts.append(t)
                 counts.append(counts[end - self.length[t]] + 1)
             return list(zip(lasts[1:], counts[1:], strict=True))
+        self.state(s)
+        table = self.table
+        return [table[s[:end]][:2] for end in range(1, n + 1)]
+
+    def state(self, s: str) -> tuple[int, int, bytes]:
+        """(last token, number of tokens, change of that number at each byte as int8) of a spelled word of at most LONG bytes."""
         table = self.table
+        got = table.get(s)
+        if got is not None:
+            return got
         if len(table) > self.most:
             table.clear()
-        out: list[tuple[int, int]] = []
-        known = n
+        known = len(s) - 1
         while known and s[:known] not in table:
             known -= 1
-        vocab, length = self.vocab, self.length
-        for end in range(1, n + 1):
+        got = table[s[:known]] if known else (-1, 0, b"")
+        ends, compatible = self.ends, self.compatible
+        for end in range(known + 1, len(s) + 1):
             p = s[:end]
-            got = table.get(p) if end <= known else None
-            if got is None:
-                for start in range(max(0, end - self.longest), end):
-                    t = vocab.get(p[start:])
-                    if t is None:
-                        continue
-                    if start == 0:
-                        if self.alone(t):
-                            got = (t, 1)
-                            break
-                    elif self.compatible(out[start - 1][0], t):
-                        got = (t, out[start - 1][1] + 1)
+            found = []
+            for start in range(end - 1, -1, -1):
+                t = ends.get(p[start:])
+                if t is None:
+                    break
+                if t >= 0:
+                    found.append((start, t))
+            for start, t in reversed(found):
+                if start == 0:
+                    if self.alone(t):
+                        count = 1
                         break
-                if got is None:
-                    raise ValueError(f"no token ends {p!r}")
-                table[p] = got
-            out.append(got)
-        return out
+                else:
+                    before = table[p[:start]]
+                    if compatible(before[0], t):
+                        count = before[1] + 1
+                        break
+            else:
+                raise ValueError(f"no token ends {p!r}")
+            got = table[p] = (t, count, got[2] + CHANGE[count - got[1]])
+        return got
 
     def ids(self, s: str) -> list[int]:
         """The ids of a spelled word; its last symbol carries the end-of-word suffix, if the model has one."""
@@ -176,6 +198,7 @@ class ByteCounter:
         self.split_special = regex.compile("|".join(regex.escape(s) for s in self.special)) if self.special else None
         self.pattern = regex.compile(BYTE_PATTERN)
         self.cache: dict[str, tuple[int, bytes]] = {}
+        self.words: dict[str, tuple[int, int, bytes]] = {}
 
     def word(self, token: str) -> list[int]:
         return [c for _, c in self.dp.prefixes(self.dp.spelled(token))]
@@ -224,19 +247,35 @@ class ByteCounter:
         out.extend(base + c for c in counts)
         return base + self.total, out
 
+    def measure(self, chunk: str) -> tuple[int, bytes]:
+        """(tokens, change of the count at each byte as int8) of a text that is independent of its neighbours."""
+        if len(chunk.encode()) <= LONG and "'" not in chunk and chunk[1:].split() == [chunk[1:]] and not any(s in chunk for s in self.special):
+            # No run of white space and no contraction: the words' own changes stand end to end.
+            total, deltas = 0, b""
+            for token in self.pattern.findall(chunk):
+                got = self.words.get(token)
+                if got is None:
+                    if len(self.words) > 400_000:
+                        self.words.clear()
+                    got = self.words[token] = self.dp.state(self.dp.spelled(token))
+                total += got[1]
+                deltas += got[2]
+            return total, deltas
+        total, counts = self.prefix_counts(chunk)
+        last = 0
+        changes = bytearray()
+        for c in counts:
+            changes.append((c - last) & 255)
+            last = c
+        return total, bytes(changes)
+
     def piece(self, chunk: str) -> tuple[int, bytes]:
-        """(tokens, change of the count at each byte as int8) of a piece that is independent of its neighbours."""
+        """``measure`` of a word with what it stands next to, kept for the next time."""
         got = self.cache.get(chunk)
         if got is None:
             if len(self.cache) > 300_000:
                 self.cache.clear()
-            total, counts = self.prefix_counts(chunk)
-            last = 0
-            deltas = bytearray()
-            for c in counts:
-                deltas.append((c - last) & 255)
-                last = c
-            got = (total, bytes(deltas))
+            got = self.measure(chunk)
             if len(chunk) <= 256:
                 self.cache[chunk] = got
         return got

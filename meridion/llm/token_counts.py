@@ -31,13 +31,18 @@ def count_batch(texts: pa.Array, path: str) -> tuple[np.ndarray, list[bytes]]:
     bad = np.zeros(len(names), dtype=bool)
     parts: list[bytes] = []
     totals = np.zeros(len(names), dtype=np.int64)
+    known = counter.cache
     for i, name in enumerate(names):
-        if _unclean(name, special):
-            bad[i] = True
-            parts.append(b"")
-        else:
-            totals[i], deltas = counter.piece(name if name[0] == "\n" else " " + name)
-            parts.append(deltas)
+        chunk = name if name[:1] == "\n" else " " + name
+        got = known.get(chunk)
+        if got is None:
+            if _unclean(name, special):
+                bad[i] = True
+                parts.append(b"")
+                continue
+            got = counter.piece(chunk)
+        totals[i] = got[0]
+        parts.append(got[1])
     n = len(texts)
     firsts = begins[:-1]
     flagged = np.add.reduceat(bad[index].astype(np.int64), firsts) if len(index) else np.zeros(n, dtype=np.int64)
@@ -49,7 +54,7 @@ def count_batch(texts: pa.Array, path: str) -> tuple[np.ndarray, list[bytes]]:
         lo, hi = int(begins[k]), int(begins[k + 1])
         first = names[index[lo]]
         if flagged[k] or first[:1] == "\n":
-            tokens[k], deltas = counter.piece(texts[k].as_py() or "")
+            tokens[k], deltas = counter.measure(texts[k].as_py() or "")
         else:
             head, deltas = counter.piece(first)
             tokens[k] = head + sums[hi] - sums[lo + 1]
