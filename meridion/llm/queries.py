@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meridion.llm import mixing
+from meridion.llm import lsh_forest, mixing
 from meridion.llm.common import table
 from meridion.llm.embedding_dedup import near_duplicates
 from meridion.llm.mixing import mixing_plan
@@ -40,6 +40,10 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents"), shards=24, overhead=8)
 
 
+def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lsh_forest.near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=80)
+
+
 def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
     return nearest(index(rows), rows.where(F.col("vec_id") % 20 == 0), k=20, factor=1.0)
@@ -59,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
     "op3_url_filter": op3_url_filter,
     "op5_sharding": op5_sharding,
+    "op6_minhash_dedup": op6_minhash_dedup,
     "op7_nearest_neighbours": op7_nearest_neighbours,
     "op9_packing": op9_packing,
     "op10_mixing": op10_mixing,
