@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meridion.llm import lsh_forest, mixing
-from meridion.llm.common import table
+from meridion.llm import language_id, lsh_forest, mixing
+from meridion.llm.common import crc_of_id, table
 from meridion.llm.embedding_dedup import near_duplicates
 from meridion.llm.mixing import mixing_plan
 from meridion.llm.packing import pack
@@ -36,6 +36,13 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = crc_of_id("doc_id") % 3 == 1
+    said = language_id.predict(docs, language_id.fit(docs, ~held_out))
+    return said.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents"), shards=24, overhead=8)
 
@@ -62,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_dedup": op1_embedding_dedup,
     "op2_token_counts": op2_token_counts,
     "op3_url_filter": op3_url_filter,
+    "op4_language_id": op4_language_id,
     "op5_sharding": op5_sharding,
     "op6_minhash_dedup": op6_minhash_dedup,
     "op7_nearest_neighbours": op7_nearest_neighbours,
