@@ -25,6 +25,9 @@ BYTE_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|
 #: Words longer than this are encoded in arrays of their own, so that the shared table's keys stay short.
 LONG = 64
 
+#: The rank of a pair that doesn't merge.
+NEVER = 1 << 40
+
 #: A change of the count as a signed byte.
 CHANGE = {n: bytes([n & 255]) for n in range(-127, 128)}
 
@@ -59,11 +62,14 @@ class PrefixTable:
         self.longest = max(self.length)
         #: Every end of a token, with the token's id where the end is a token itself.
         self.ends: dict[str, int] = {}
-        for piece in self.vocab:
-            if not self.suffix or not piece.endswith(self.suffix):
-                for start in range(1, len(piece)):
-                    self.ends.setdefault(piece[start:], -1)
-        self.ends.update((piece, i) for piece, i in self.vocab.items() if not self.suffix or not piece.endswith(self.suffix))
+        #: The same of the tokens that carry the end-of-word suffix, without it.
+        self.tails: dict[str, int] = {}
+        for piece, i in self.vocab.items():
+            closed = bool(self.suffix) and piece.endswith(self.suffix)
+            bare, known = (piece[: -len(self.suffix)], self.tails) if closed else (piece, self.ends)
+            for start in range(1, len(bare)):
+                known.setdefault(bare[start:], -1)
+            known[bare] = i
         self.most = most_prefixes
         self.table: dict[str, tuple[int, int, bytes]] = {}
         self.fits: dict[int, bool] = {}
@@ -171,19 +177,39 @@ class PrefixTable:
         """The ids of a spelled word; its last symbol carries the end-of-word suffix, if the model has one."""
         if not s:
             return []
-        n = len(s)
+        n, length = len(s), self.length
+        if n > LONG:
+            lasts = [-1, *(t for t, _ in self.prefixes(s[:-1] if self.suffix else s))]
+            out = [self._last(s, n, lasts, self.suffix) if self.suffix else lasts[n]]
+            at = n - length[out[0]]
+            while at:
+                out.append(lasts[at])
+                at -= length[lasts[at]]
+            return out[::-1]
+        table = self.table
         if self.suffix:
-            before = self.prefixes(s[:-1]) if n > 1 else []
-            lasts = [-1, *(t for t, _ in before)]
-            out = [self._last(s, n, lasts, self.suffix)]
+            if n > 1:
+                self.state(s[:-1])
+            found = []
+            for start in range(n - 1, -1, -1):
+                t = self.tails.get(s[start:])
+                if t is None:
+                    break
+                if t >= 0:
+                    found.append((start, t))
+            for start, t in reversed(found):  # noqa: B007
+                if self.alone(t) if start == 0 else self.compatible(table[s[:start]][0], t):
+                    break
+            else:
+                raise ValueError(f"no token ends {s!r}")
         else:
-            before = self.prefixes(s)
-            lasts = [-1, *(t for t, _ in before)]
-            out = [lasts[n]]
-        at = n - self.length[out[0]]
+            t = self.state(s)[0]
+        out = [t]
+        at = n - length[t]
         while at:
-            out.append(lasts[at])
-            at -= self.length[lasts[at]]
+            t = table[s[:at]][0]
+            out.append(t)
+            at -= length[t]
         return out[::-1]
 
 
@@ -294,25 +320,27 @@ def spaced_pieces(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     return coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), offsets - offsets[0]
 
 
+def taken(flat: np.ndarray, lengths: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The stretches of ``flat`` that have the given lengths, for i in index, end to end, and where each begins."""
+    begins = np.cumsum(lengths) - lengths
+    sizes = lengths[index]
+    at = np.zeros(len(index) + 1, dtype=np.int64)
+    np.cumsum(sizes, out=at[1:])
+    return flat[np.repeat(begins[index] - at[:-1], sizes) + np.arange(at[-1], dtype=np.int64)], at
+
+
 def gathered(parts: list[bytes], index: np.ndarray, dtype: str) -> tuple[np.ndarray, np.ndarray]:
     """The arrays ``parts[i]`` for i in index, end to end, and where each begins (one more than there are)."""
-    flat = np.frombuffer(b"".join(parts), dtype=dtype)
     size = np.dtype(dtype).itemsize
     lengths = np.fromiter((len(p) // size for p in parts), dtype=np.int64, count=len(parts))
-    begins = np.zeros(len(parts) + 1, dtype=np.int64)
-    np.cumsum(lengths, out=begins[1:])
-    taken = lengths[index]
-    at = np.zeros(len(index) + 1, dtype=np.int64)
-    np.cumsum(taken, out=at[1:])
-    where = np.repeat(begins[index] - at[:-1], taken) + np.arange(at[-1], dtype=np.int64)
-    return flat[where], at
+    return taken(np.frombuffer(b"".join(parts), dtype=dtype), lengths, index)
 
 
 class WordIds:
     """Ids of a lower-casing word tokenizer that drops white space; pieces between spaces are independent of each other."""
 
-    #: Fixed value: the tokenizer's pattern.
-    PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"""
+    #: Fixed value: the tokenizer's pattern; a space is added to it, to find the borders of pieces that are joined.
+    PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+| """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
@@ -323,36 +351,126 @@ class WordIds:
         self.special = [t["content"] for t in spec["added_tokens"]]
         self.pattern = regex.compile(self.PATTERN)
         self.library = Tokenizer.from_file(path)
-        self.words: dict[str, list[int]] = {}
-        self.cache: dict[str, bytes] = {}
+        alphabet = byte_alphabet()
+        self.base = np.array([self.dp.vocab[c] for c in alphabet], dtype=np.int64)
+        self.closed = np.array([self.dp.vocab[c + self.dp.suffix] for c in alphabet], dtype=np.int64)
+        pairs = sorted(self.dp.merge.items())
+        self.pair_keys = np.array([k for k, _ in pairs], dtype=np.int64)
+        self.pair_ranks = np.array([r for _, r in pairs], dtype=np.int64)
+        made = {rank: i for i, rank in enumerate(self.dp.rank) if rank >= 0}
+        self.made = np.array([made[r] for r in range(len(pairs))], dtype=np.int64)
+
+    def _ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        key = a << 20 | b
+        at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
+        return np.where(self.pair_keys[at] == key, self.pair_ranks[at], NEVER)
 
-    def piece(self, piece: str) -> bytes:
-        """The piece's ids as little-endian unsigned 32-bit numbers.
+    def words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words end to end, number of each word's): merges run over all words at once, lowest rank first.
+
+        Each step makes the best merge of every word that still has one. Words above ``LONG`` bytes, where that would be
+        many steps, are taken from the table of prefixes.
+        """
+        sizes = pc.binary_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+        short = sizes <= LONG
+        data = np.frombuffer("".join(words.filter(pa.array(short)).to_pylist()).encode(), dtype=np.uint8)
+        n = sizes[short]
+        ends = np.cumsum(n)
+        tok = self.base[data]
+        tok[ends - 1] = self.closed[data[ends - 1]]
+        of = np.repeat(np.arange(len(n)), n)
+        rank = np.full(len(tok), NEVER)
+        inner = np.flatnonzero(of[:-1] == of[1:])
+        rank[inner] = self._ranks(tok[inner], tok[inner + 1])
+        done: list[tuple[np.ndarray, np.ndarray]] = []
+        while len(tok):
+            starts = np.flatnonzero(np.diff(of, prepend=-1))
+            best = np.minimum.reduceat(rank, starts)
+            going = np.repeat(best < NEVER, np.diff(starts, append=len(of)))
+            if not going.all():
+                done.append((of[~going], tok[~going]))
+                tok, of, rank = tok[going], of[going], rank[going]
+                if not len(tok):
+                    break
+                starts = np.flatnonzero(np.diff(of, prepend=-1))
+                best = np.minimum.reduceat(rank, starts)
+            hit = rank == np.repeat(best, np.diff(starts, append=len(of)))
+            if (hit[1:] & hit[:-1]).any():  # a run of one token merges in pairs from the left
+                place = np.arange(len(hit))
+                first = np.maximum.accumulate(np.where(hit & ~np.concatenate([[False], hit[:-1]]), place, -1))
+                hit &= (place - first) % 2 == 0
+            at = np.flatnonzero(hit)
+            tok[at] = self.made[rank[at]]
+            keep = np.ones(len(tok), dtype=bool)
+            keep[at + 1] = False
+            tok, of = tok[keep], of[keep]
+            rank = rank[keep]
+            now = at - np.arange(len(at))  # where the merged tokens stand after the gaps are closed
+            mark = np.zeros(len(tok), dtype=bool)
+            mark[now] = True
+            mark[now[now > 0] - 1] = True
+            touched = np.flatnonzero(mark)
+            rank[touched] = NEVER
+            touched = touched[touched + 1 < len(tok)]
+            touched = touched[of[touched] == of[touched + 1]]
+            rank[touched] = self._ranks(tok[touched], tok[touched + 1])
+        which = np.concatenate([d[0] for d in done] or [np.zeros(0, np.int64)])
+        ids = np.concatenate([d[1] for d in done] or [np.zeros(0, np.int64)])
+        order = np.argsort(which, kind="stable")
+        ids, counts = ids[order].astype("<u4"), np.bincount(which, minlength=len(n))
+        if short.all():
+            return ids, counts
+        lengths = np.zeros(len(sizes), dtype=np.int64)
+        lengths[short] = counts
+        long = {i: self.dp.ids(self.dp.spelled(words[i].as_py())) for i in np.flatnonzero(~short).tolist()}
+        for i, got in long.items():
+            lengths[i] = len(got)
+        begins = np.cumsum(lengths) - lengths
+        out = np.empty(int(lengths.sum()), dtype="<u4")
+        out[np.repeat(short, lengths)] = ids
+        for i, got in long.items():
+            out[begins[i] : begins[i] + len(got)] = got
+        return out, lengths
+
+    def pieces(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all pieces end to end, number of each piece's); pieces hold no space.
 
         Beyond the first Latin blocks and where a special token's text occurs the library itself is asked.
         """
-        got = self.cache.get(piece)
-        if got is not None:
-            return got
-        if len(self.cache) > 400_000:
-            self.cache.clear()
-        if (piece.isascii() or max(piece) < "ɐ") and not any(s in piece for s in self.special):
-            ids: list[int] = []
-            for token in self.pattern.findall("".join([c.lower() for c in unicodedata.normalize("NFC", piece)]) if not piece.isascii() else piece.lower()):
-                known = self.words.get(token)
-                if known is None:
-                    if len(self.words) > 400_000:
-                        self.words.clear()
-                    known = self.dp.ids(self.dp.spelled(token))
-                    if len(token) <= 256:
-                        self.words[token] = known
-                ids.extend(known)
-        else:
-            ids = self.library.encode(piece, add_special_tokens=False).ids
-        got = np.asarray(ids, dtype="<u4").tobytes()
-        if len(piece) <= 256:
-            self.cache[piece] = got
-        return got
+        names = pieces.to_pylist()
+        other = {i: None for i, p in enumerate(names) if not (p.isascii() or max(p) < "ɐ") or ("<|" in p and any(s in p for s in self.special))}
+        for i in other:
+            other[i] = self.library.encode(names[i], add_special_tokens=False).ids
+            names[i] = ""
+        joined = " ".join(names)
+        if not joined.isascii():
+            joined = unicodedata.normalize("NFC", joined)
+        tokens = pa.array(self.pattern.findall(joined.lower()), pa.string())
+        coded = pc.dictionary_encode(tokens)
+        index = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        space = pc.index(coded.dictionary, " ").as_py()
+        border = index == space
+        ids, counts = self.words(coded.dictionary)
+        counts = counts.copy()
+        begins = np.cumsum(counts) - counts
+        lengths = np.where(border, 0, counts[index])
+        of = np.cumsum(border)
+        per_piece = np.bincount(of, weights=lengths, minlength=len(names)).astype(np.int64) if len(names) else np.zeros(0, np.int64)
+        shift = np.cumsum(lengths) - lengths
+        flat = ids[np.repeat(begins[index] - shift, lengths) + np.arange(int(lengths.sum()))]
+        if not other:
+            return flat, per_piece
+        mine = np.ones(len(names), dtype=bool)
+        mine[list(other)] = False
+        final = per_piece.copy()
+        for i, got in other.items():
+            final[i] = len(got)
+        at = np.cumsum(final) - final
+        out = np.empty(int(final.sum()), dtype="<u4")
+        out[np.repeat(mine, final)] = flat
+        for i, got in other.items():
+            out[at[i] : at[i] + len(got)] = got
+        return out, final
 
 
 @lru_cache(maxsize=4)

@@ -12,10 +12,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from meridion.llm.bpe import gathered, spaced_pieces, word_ids
+from meridion.llm.bpe import spaced_pieces, taken, word_ids
 from meridion.llm.common import materialise
 
-SLICE = 1000
+SLICE = 3000
 
 
 def tokenised(df: DataFrame, tokenizer: str, capacity: int, end_id: int, id_col: str, text_col: str) -> DataFrame:
@@ -29,7 +29,7 @@ def tokenised(df: DataFrame, tokenizer: str, capacity: int, end_id: int, id_col:
                 part = batch.slice(begin, SLICE)
                 texts = pc.replace_substring(pc.fill_null(part.column(1), ""), "\n", " ")
                 names, index, begins = spaced_pieces(texts)
-                flat, at = gathered([words.piece(p) for p in names.to_pylist()], index, "<u4")
+                flat, at = taken(*words.pieces(names), index)
                 rows, numbers, starts, lengths, sums = [], [], [], [], []
                 for k in range(part.num_rows):
                     ids = flat[at[begins[k]] : at[begins[k + 1]]].tobytes() + end

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meridion.llm import language_id, lsh_forest, mixing
+from meridion.llm import language_id, lsh_forest, mixing, toxicity
 from meridion.llm.common import crc_of_id, table
 from meridion.llm.embedding_dedup import near_duplicates
 from meridion.llm.mixing import mixing_plan
@@ -56,6 +56,13 @@ def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(index(rows), rows.where(F.col("vec_id") % 20 == 0), k=20, factor=1.0)
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = crc_of_id("doc_id") % 5 == 0
+    tagged = toxicity.tag(docs, toxicity.fit(docs, labels, ~held_out))
+    return tagged.select("doc_id", held_out.alias("held_out"), "score", "predicted", "spans")
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), capacity=4096, end_id=1)
 
@@ -73,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_sharding": op5_sharding,
     "op6_minhash_dedup": op6_minhash_dedup,
     "op7_nearest_neighbours": op7_nearest_neighbours,
+    "op8_toxicity": op8_toxicity,
     "op9_packing": op9_packing,
     "op10_mixing": op10_mixing,
 }

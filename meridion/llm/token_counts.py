@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from meridion.llm.bpe import byte_counter, gathered, spaced_pieces
 
-SLICE = 2000
+SLICE = 3000
 
 
 def _unclean(piece: str, special: list[str]) -> bool:

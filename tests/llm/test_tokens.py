@@ -51,12 +51,15 @@ def test_budget():
 
 
 def test_word_ids_equal_the_library():
-    import numpy as np
-
     t, w = Tokenizer.from_file(WORDS), word_ids(WORDS)
-    for x in ODD + texts(1500, 3):
-        got = [i for p in x.replace("\n", " ").split(" ") for i in np.frombuffer(w.piece(p), "<u4").tolist()]
+    all_texts = ODD + texts(1500, 3) + ["aaaa aaaaa aaaaaaa", "ab" * 100]
+    for x in all_texts:
+        got = w.pieces(pa.array(x.replace("\n", " ").split(" ")))[0].tolist()
         assert got == t.encode(x, add_special_tokens=False).ids, x
+    flat, sizes = w.pieces(pa.array([p for x in all_texts for p in x.replace("\n", " ").split(" ")]))
+    assert flat.tolist() == [i for x in all_texts for i in t.encode(x, add_special_tokens=False).ids] and sizes.sum() == len(flat)
+    one = w.words(pa.array(["hello", "ab" * 100, "world"]))
+    assert one[1].tolist() == [len(t.encode(x, add_special_tokens=False).ids) for x in ("hello", "ab" * 100, "world")]
 
 
 def test_bounded_tables():
