@@ -13,18 +13,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meridion.llm.bpe import spaced_pieces
+from meridion.llm.shingles import shingle_sets, signature
 
-BITS = 18
 EDGES = re.compile(r"^[\W\d_]+|[\W\d_]+$")
 
 
 def features(piece: str) -> list[int]:
-    """Hashed features of a token: the bare word, its beginnings of 3 to 9 letters and its last 3; none without a letter."""
+    """Hashed features of a token: the bare word, its beginnings of 4 to 9 letters and its last 3; none without a letter."""
     word = EDGES.sub("", piece.lower())
     if not word:
         return []
-    parts = ["w" + word, "e" + word[-3:], *(f"{n}{word[:n]}" for n in range(3, min(10, len(word) + 1)))]
-    return [zlib.crc32(p.encode()) & ((1 << BITS) - 1) for p in parts]
+    parts = ["w" + word, "e" + word[-3:], *(f"{n}{word[:n]}" for n in range(4, min(10, len(word) + 1)))]
+    return [zlib.crc32(p.encode()) for p in parts]
 
 
 def batch_tokens(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -80,7 +80,7 @@ class Crf:
     """Token weights, transitions, and the line that turns a document's most toxic token into a score."""
 
     def __init__(self) -> None:
-        self.weights = np.zeros(1 << BITS, dtype=np.float32)
+        self.weights: dict[int, float] = {}
         self.bias = -6.0
         self.trans = np.zeros((2, 2))
         self.line = (-4.0, 0.0)
@@ -94,7 +94,8 @@ class Crf:
         if got is None:
             if len(self._known) > 400_000:
                 self._known.clear()
-            got = self.bias + float(self.weights[features(piece)].sum())
+            weights = self.weights
+            got = self.bias + sum(weights.get(f, 0.0) for f in features(piece))
             if len(piece) <= 256:
                 self._known[piece] = got
         return got
@@ -113,8 +114,13 @@ class Crf:
         return sigmoid(self.line[0] + self.line[1] * most_toxic(p, begins))
 
 
-def labelled_tokens(index: np.ndarray, begins: np.ndarray, toxic: np.ndarray, feats: list[list[int]], support: int, ratio: float) -> tuple[np.ndarray, np.ndarray]:
-    """Token labels from document labels, and which documents they explain.
+def labelled_tokens(
+    index: np.ndarray, begins: np.ndarray, toxic: np.ndarray, size: np.ndarray, flat: np.ndarray, copies: np.ndarray, support: int, ratio: float
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Token labels from document labels, which documents they explain, and in how many documents each feature is.
+
+    ``copies`` has a column of minhashes each: texts that agree in one are counted once there, and the least count holds, so
+    that the rare words of a text that was copied many times don't pass for evidence. ``flat`` holds the features of the distinct tokens end to end, as small numbers, and ``size`` how many each token has.
 
     A feature carries toxicity when at least ``support`` toxic documents have it, its smoothed share among toxic documents is
     ``ratio`` times that among clean ones, and so many toxic among the documents that have it would be expected of fewer
@@ -122,28 +128,32 @@ def labelled_tokens(index: np.ndarray, begins: np.ndarray, toxic: np.ndarray, fe
     without one are not explained and teach nothing.
     """
     owner = np.repeat(np.arange(len(toxic)), np.diff(begins))
-    flat = np.concatenate([np.asarray(f, dtype=np.int64) for f in feats] or [np.zeros(0, np.int64)])
-    of = np.repeat(np.arange(len(feats)), [len(f) for f in feats])
+    n_features = int(flat.max()) + 1 if len(flat) else 1
+    of = np.repeat(np.arange(len(size)), size)
     # Each document's distinct tokens, then its distinct features.
-    pairs = np.unique(owner * len(feats) + index)
-    doc, piece = pairs // len(feats), pairs % len(feats)
-    size = np.bincount(of, minlength=len(feats))
+    pairs = np.unique(owner * len(size) + index)
+    doc, piece = pairs // len(size), pairs % len(size)
     first = np.concatenate([[0], np.cumsum(size)])
     spread = np.repeat(first[piece] - np.concatenate([[0], np.cumsum(size[piece])])[:-1], size[piece]) + np.arange(size[piece].sum())
-    seen = np.unique(np.repeat(doc, size[piece]) * (1 << BITS) + flat[spread])
-    which, f = seen >> BITS, seen & ((1 << BITS) - 1)
-    bad = np.bincount(f[toxic[which] == 1], minlength=1 << BITS)
-    good = np.bincount(f[toxic[which] == 0], minlength=1 << BITS)
+    seen = np.unique(np.repeat(doc, size[piece]) * n_features + flat[spread])
+    which, f = seen // n_features, seen % n_features
+
+    def counted(mask: np.ndarray) -> np.ndarray:
+        w, g = which[mask], f[mask]
+        columns = [np.bincount(np.unique(c[w] * n_features + g) % n_features, minlength=n_features) for c in copies.T]
+        return np.minimum.reduce(columns)
+
+    bad, good = counted(toxic[which] == 1), counted(toxic[which] == 0)
     share = (bad + 0.5) / (toxic.sum() + 1) / ((good + 0.5) / ((1 - toxic).sum() + 1))
     prior = np.clip(toxic.mean(), 1e-6, 1 - 1e-6)
     part = np.clip(bad / np.maximum(bad + good, 1), 1e-12, 1 - 1e-12)
     surprise = (bad + good) * (part * np.log(part / prior) + (1 - part) * np.log((1 - part) / (1 - prior)))
     tried = max(1, int((bad + good >= support).sum()))
     carrier = (bad >= support) & (share >= ratio) & (surprise >= np.log(tried))
-    hit = np.bincount(of, weights=carrier[flat], minlength=len(feats)) > 0
+    hit = np.bincount(of, weights=carrier[flat], minlength=len(size)) > 0
     labels = hit[index] & (toxic[owner] == 1)
     explained = np.bincount(owner, weights=labels, minlength=len(toxic)) > 0
-    return labels, explained | (toxic == 0)
+    return labels, explained | (toxic == 0), bad + good
 
 
 def train(texts: list[str], toxic: np.ndarray, rounds: int = 60, ridge: float = 1e-4, rate: float = 0.5, support: int = 3, ratio: float = 10.0) -> Crf:
@@ -155,9 +165,16 @@ def train(texts: list[str], toxic: np.ndarray, rounds: int = 60, ridge: float =
     names, index, begins = batch_tokens(pa.array(texts, pa.string()))
     pieces = names.to_pylist()
     feats = [features(p) for p in pieces]
-    labels, taught = labelled_tokens(index, begins, toxic, feats, support, ratio)
-    flat = np.concatenate([np.asarray(f, dtype=np.int64) for f in feats])
-    of = np.repeat(np.arange(len(feats)), [len(f) for f in feats])
+    size = np.fromiter(map(len, feats), dtype=np.int64, count=len(feats))
+    known, flat = np.unique(np.fromiter((f for fs in feats for f in fs), dtype=np.int64, count=int(size.sum())), return_inverse=True)
+    sigs = np.stack([signature(x, 4, 29) for x in shingle_sets([t.encode() for t in texts], 5)])
+    copies = np.stack([np.unique(c, return_inverse=True)[1] for c in sigs.T], axis=1)
+    labels, taught, spread = labelled_tokens(index, begins, toxic, size, flat, copies, support, ratio)
+    of = np.repeat(np.arange(len(feats)), size)
+    # A feature of fewer documents has no weight: it could only be learned by heart.
+    common = spread[flat] >= support if len(flat) else np.zeros(0, dtype=bool)
+    flat, of = flat[common], of[common]
+    n_known = max(1, len(known))
     use = np.flatnonzero(taught)
     tokens = np.concatenate([np.arange(begins[k], begins[k + 1]) for k in use])
     y = labels[tokens].astype(np.float64)
@@ -169,8 +186,8 @@ def train(texts: list[str], toxic: np.ndarray, rounds: int = 60, ridge: float =
     inner = np.flatnonzero(~last)
     n = len(use)
     seen_t = np.array([[(1 - y[inner]) @ (1 - y[inner + 1]), (1 - y[inner]) @ y[inner + 1]], [y[inner] @ (1 - y[inner + 1]), y[inner] @ y[inner + 1]]])
-    w, bias, trans = np.zeros(1 << BITS), model.bias, np.zeros((2, 2))
-    gw, gb, gt = np.full(1 << BITS, 1e-8), 1e-8, np.full((2, 2), 1e-8)
+    w, bias, trans = np.zeros(n_known), model.bias, np.zeros((2, 2))
+    gw, gb, gt = np.full(n_known, 1e-8), 1e-8, np.full((2, 2), 1e-8)
     for _ in range(rounds):
         e_piece = bias + np.bincount(of, weights=w[flat], minlength=len(feats))
         e = e_piece[idx]
@@ -183,7 +200,7 @@ def train(texts: list[str], toxic: np.ndarray, rounds: int = 60, ridge: float =
         np.exp(joint, out=joint)
         joint /= joint.sum(axis=0)
         d_token = np.bincount(idx, weights=y - p, minlength=len(feats))
-        dw = np.bincount(flat, weights=d_token[of], minlength=1 << BITS) / n - ridge * w
+        dw = np.bincount(flat, weights=d_token[of], minlength=n_known) / n - ridge * w
         db = d_token.sum() / n
         dt = (seen_t - joint.sum(axis=1).reshape(2, 2)) / n - ridge * trans
         gw += dw**2
@@ -192,7 +209,8 @@ def train(texts: list[str], toxic: np.ndarray, rounds: int = 60, ridge: float =
         w += rate * dw / np.sqrt(gw)
         bias += rate * db / np.sqrt(gb)
         trans = trans + 0.2 * rate * dt / np.sqrt(gt)
-    model.weights, model.bias, model.trans = w.astype(np.float32), float(bias), trans
+    model.weights = {int(known[i]): float(w[i]) for i in np.flatnonzero(np.abs(w) >= 1e-3)}
+    model.bias, model.trans = float(bias), trans
     p = model.marginals(pieces, index, begins)
     u = most_toxic(p, begins)
     a, b = 0.0, 1.0
