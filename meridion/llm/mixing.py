@@ -44,8 +44,9 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (1, 2, 3), mos
         .withColumn("level", F.col("size_left") / F.col("weight_left"))
         .withColumn("above", F.col("level") * F.col("weight") >= F.col("cap"))
     )
-    # The level to which the free sources rise is that at the first source that stays below its cap.
-    free = ranked.withColumn("rise", F.min(F.when(~F.col("above"), F.col("level"))).over(whole))
+    # Levels rise along the capped sources and fall along the free ones, so the highest free one is that at the first source
+    # that stays below its cap: the level to which all free sources rise.
+    free = ranked.withColumn("rise", F.max(F.when(~F.col("above"), F.col("level"))).over(whole))
     target = F.when(F.col("above") | F.col("rise").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("rise") * F.col("weight")))
     return free.select("source", "source_size", target.alias("target"))
 
@@ -112,7 +113,7 @@ WITH d AS (
 ), t AS (
   SELECT source, source_size,
          CASE WHEN level * weight >= cap OR rise IS NULL THEN cap ELSE least(cap, rise * weight) END AS target
-  FROM (SELECT *, min(CASE WHEN level * weight < cap THEN level END) OVER () AS rise FROM v)
+  FROM (SELECT *, max(CASE WHEN level * weight < cap THEN level END) OVER () AS rise FROM v)
 ), r AS (
   SELECT d.doc_id, d.size, t.source_size, t.target,
          CASE WHEN t.source_size > 0 THEN least(t.target / t.source_size, 3.0) ELSE 0.0 END AS rate
