@@ -26,7 +26,7 @@ BYTE_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|
 LONG = 64
 
 #: The rank of a pair that doesn't merge.
-NEVER = 1 << 40
+NEVER = (1 << 31) - 1
 
 #: A change of the count as a signed byte.
 CHANGE = {n: bytes([n & 255]) for n in range(-127, 128)}
@@ -326,7 +326,10 @@ def taken(flat: np.ndarray, lengths: np.ndarray, index: np.ndarray) -> tuple[np.
     sizes = lengths[index]
     at = np.zeros(len(index) + 1, dtype=np.int64)
     np.cumsum(sizes, out=at[1:])
-    return flat[np.repeat(begins[index] - at[:-1], sizes) + np.arange(at[-1], dtype=np.int64)], at
+    kind = np.int32 if at[-1] < 2**31 and len(flat) < 2**31 else np.int64
+    where = np.arange(at[-1], dtype=kind)
+    where += np.repeat((begins[index] - at[:-1]).astype(kind), sizes)
+    return flat[where], at
 
 
 def gathered(parts: list[bytes], index: np.ndarray, dtype: str) -> tuple[np.ndarray, np.ndarray]:
@@ -352,18 +355,18 @@ class WordIds:
         self.pattern = regex.compile(self.PATTERN)
         self.library = Tokenizer.from_file(path)
         alphabet = byte_alphabet()
-        self.base = np.array([self.dp.vocab[c] for c in alphabet], dtype=np.int64)
-        self.closed = np.array([self.dp.vocab[c + self.dp.suffix] for c in alphabet], dtype=np.int64)
+        self.base = np.array([self.dp.vocab[c] for c in alphabet], dtype=np.int32)
+        self.closed = np.array([self.dp.vocab[c + self.dp.suffix] for c in alphabet], dtype=np.int32)
         pairs = sorted(self.dp.merge.items())
         self.pair_keys = np.array([k for k, _ in pairs], dtype=np.int64)
-        self.pair_ranks = np.array([r for _, r in pairs], dtype=np.int64)
+        self.pair_ranks = np.array([r for _, r in pairs], dtype=np.int32)
         made = {rank: i for i, rank in enumerate(self.dp.rank) if rank >= 0}
-        self.made = np.array([made[r] for r in range(len(pairs))], dtype=np.int64)
+        self.made = np.array([made[r] for r in range(len(pairs))], dtype=np.int32)
 
     def _ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        key = a << 20 | b
+        key = a.astype(np.int64) << 20 | b
         at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
-        return np.where(self.pair_keys[at] == key, self.pair_ranks[at], NEVER)
+        return np.where(self.pair_keys[at] == key, self.pair_ranks[at], np.int32(NEVER))
 
     def words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all words end to end, number of each word's): merges run over all words at once, lowest rank first.
@@ -378,8 +381,8 @@ class WordIds:
         ends = np.cumsum(n)
         tok = self.base[data]
         tok[ends - 1] = self.closed[data[ends - 1]]
-        of = np.repeat(np.arange(len(n)), n)
-        rank = np.full(len(tok), NEVER)
+        of = np.repeat(np.arange(len(n), dtype=np.int32), n)
+        rank = np.full(len(tok), NEVER, dtype=np.int32)
         inner = np.flatnonzero(of[:-1] == of[1:])
         rank[inner] = self._ranks(tok[inner], tok[inner + 1])
         done: list[tuple[np.ndarray, np.ndarray]] = []
@@ -447,17 +450,17 @@ class WordIds:
             joined = unicodedata.normalize("NFC", joined)
         tokens = pa.array(self.pattern.findall(joined.lower()), pa.string())
         coded = pc.dictionary_encode(tokens)
-        index = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        index = coded.indices.to_numpy(zero_copy_only=False)
         space = pc.index(coded.dictionary, " ").as_py()
         border = index == space
         ids, counts = self.words(coded.dictionary)
-        counts = counts.copy()
-        begins = np.cumsum(counts) - counts
-        lengths = np.where(border, 0, counts[index])
-        of = np.cumsum(border)
-        per_piece = np.bincount(of, weights=lengths, minlength=len(names)).astype(np.int64) if len(names) else np.zeros(0, np.int64)
-        shift = np.cumsum(lengths) - lengths
-        flat = ids[np.repeat(begins[index] - shift, lengths) + np.arange(int(lengths.sum()))]
+        if space >= 0:  # a border has no ids
+            counts = counts.copy()
+            begin = int(counts[:space].sum())
+            ids = np.delete(ids, slice(begin, begin + int(counts[space])))
+            counts[space] = 0
+        flat, _ = taken(ids, counts, index)
+        per_piece = np.bincount(np.cumsum(border), weights=counts[index], minlength=len(names)).astype(np.int64) if len(names) else np.zeros(0, np.int64)
         if not other:
             return flat, per_piece
         mine = np.ones(len(names), dtype=bool)

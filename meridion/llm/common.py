@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,6 +69,19 @@ def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.T
         yield pa.Table.from_batches(held)
 
 
+def slices(batch: pa.RecordBatch, column: int, rows: int, most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of at most ``rows`` rows and, but for a single longer row, ``most_bytes`` bytes of a text column."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    run = np.cumsum(sizes)
+    begin = 0
+    while begin < batch.num_rows:
+        before = run[begin - 1] if begin else 0
+        end = int(np.searchsorted(run, before + most_bytes, side="right"))
+        end = max(begin + 1, min(end, begin + rows, batch.num_rows))
+        yield batch.slice(begin, end - begin)
+        begin = end
+
+
 def fixed_rows(column: pa.ChunkedArray | pa.Array, dtype: str) -> np.ndarray:
     """A binary column whose values all have the same length, as a matrix."""
     values = column.to_pylist()

@@ -13,9 +13,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from meridion.llm.bpe import spaced_pieces, taken, word_ids
-from meridion.llm.common import materialise
+from meridion.llm.common import materialise, slices
 
-SLICE = 3000
+SLICE = 1500
 
 
 def tokenised(df: DataFrame, tokenizer: str, capacity: int, end_id: int, id_col: str, text_col: str) -> DataFrame:
@@ -25,8 +25,7 @@ def tokenised(df: DataFrame, tokenizer: str, capacity: int, end_id: int, id_col:
         words = word_ids(tokenizer)
         end = np.asarray([end_id], dtype="<u4").tobytes()
         for batch in batches:
-            for begin in range(0, batch.num_rows, SLICE):
-                part = batch.slice(begin, SLICE)
+            for part in slices(batch, 1, SLICE):
                 texts = pc.replace_substring(pc.fill_null(part.column(1), ""), "\n", " ")
                 names, index, begins = spaced_pieces(texts)
                 flat, at = taken(*words.pieces(names), index)

@@ -11,8 +11,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meridion.llm.bpe import byte_counter, gathered, spaced_pieces
+from meridion.llm.common import slices
 
-SLICE = 3000
+SLICE = 2000
 
 
 def _unclean(piece: str, special: list[str]) -> bool:
@@ -90,8 +91,7 @@ def count_tokens(df: DataFrame, tokenizer: str, limit: int = 1024, id_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for begin in range(0, batch.num_rows, SLICE):
-                part = batch.slice(begin, SLICE)
+            for part in slices(batch, 1, SLICE):
                 tokens, deltas = count_batch(part.column(1), tokenizer)
                 sizes = np.fromiter(map(len, deltas), dtype=np.int64, count=len(deltas))
                 over = tokens > limit
