@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meridion.llm.common import as_long, components, fixed_rows, grouped, materialise
+from meridion.llm.common import as_long, components, fixed_rows, grouped, materialise, slices
 from meridion.llm.shingles import mixed, shingle_sets, signature
 
 SLICE = 1000
@@ -32,8 +32,7 @@ def signatures(df: DataFrame, words: int, seed: int, id_col: str, text_col: str)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for begin in range(0, batch.num_rows, SLICE):
-                part = batch.slice(begin, SLICE)
+            for part in slices(batch, 1, SLICE):
                 sets = shingle_sets(pc.fill_null(part.column(1), b"").to_pylist(), words)
                 sums = np.array([[s.sum(dtype=np.uint64), mixed(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)] for s in sets], dtype=np.uint64).view(np.int64)
                 sigs = [signature(s, MINIMA, seed).tobytes() for s in sets]
@@ -103,18 +102,24 @@ def best_partners(cells: DataFrame, least: int) -> DataFrame:
     return cells.mapInArrow(run, "a long, b long, same int")
 
 
-def strangers(cells: DataFrame, least: int) -> DataFrame:
-    """``(a, b)``: in each cell the pairs of an odd row and any row, of different components, that share ``least`` minima."""
+def strangers(cells: DataFrame, least: int, percent: int) -> DataFrame:
+    """``(a, b)``: in each cell the pairs of an odd row and any row that may be a link between components.
+
+    They are of different components, share ``least`` minima, and their sets can reach the similarity: no more of a set can be
+    shared than what isn't its document's own.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cell in grouped(batches, ["region", "c", "d"]):
             odd = cell.column("odd").to_numpy(zero_copy_only=False)
-            ids, comp = cell.column("id").to_numpy(), cell.column("comp").to_numpy()
+            ids, comp, size, own = (cell.column(c).to_numpy() for c in ("id", "comp", "size", "own"))
             sig = fixed_rows(cell.column("sig"), "<u4")
             x, y = np.flatnonzero(odd), np.flatnonzero(~odd)
             for lo in range(0, len(x), 256):
                 part = x[lo : lo + 256]
-                i, j = np.nonzero((alike(sig[part], sig[y]) >= least) & (comp[part][:, None] != comp[y][None, :]))
+                may = np.minimum((size - own)[part][:, None], (size - own)[y][None, :])
+                fits = 100 * may >= percent * (size[part][:, None] + size[y][None, :] - may)
+                i, j = np.nonzero((alike(sig[part], sig[y]) >= least) & (comp[part][:, None] != comp[y][None, :]) & fits)
                 if len(i):
                     p, q = ids[part[i]], ids[y[j]]
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], names=["a", "b"])
@@ -122,15 +127,13 @@ def strangers(cells: DataFrame, least: int) -> DataFrame:
     return cells.mapInArrow(run, "a long, b long").distinct()
 
 
-def confirmed(pairs: DataFrame, df: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """The pairs ``(a, b)`` whose whole shingle sets reach the similarity, with sets made anew from the texts.
+def sets_of(wanted_ids: DataFrame, df: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
+    """``(id, set)``: the whole shingle sets of the wanted documents, made anew from the texts and kept.
 
-    A filter of fixed size, sent to all tasks, spares the sets of documents in no pair; what it lets through by chance
-    finds no partner in the joins. The first join brings one set to each pair, the second the other; a document in many
-    pairs is a skewed key that the planner splits.
+    A filter of fixed size, sent to all tasks, spares the sets of other documents; what it lets through by chance finds no
+    partner in later joins.
     """
-    ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id")))
-    slots = ends.select(F.explode(F.array(*[F.pmod(F.xxhash64(F.col("id"), F.lit(s)), F.lit(FILTER_BITS)) for s in (1, 2)])).alias("slot"))
+    slots = wanted_ids.select(F.explode(F.array(*[F.pmod(F.xxhash64(F.col("id"), F.lit(s)), F.lit(FILTER_BITS)) for s in (1, 2)])).alias("slot"))
     place, bit = F.floor(F.col("slot") / 32).cast("int"), F.expr("shiftleft(1L, cast(pmod(slot, 32) as int))")
     filled = slots.groupBy(place.alias("place")).agg(F.bit_or(bit).alias("bits")).collect()
     table = np.zeros(FILTER_BITS // 32, dtype=np.uint32)
@@ -146,14 +149,39 @@ def confirmed(pairs: DataFrame, df: DataFrame, words: int, percent: int, id_col:
                 at = batch.column(c).to_numpy()
                 keep &= (bits[at // 32] >> (at % 32).astype(np.uint32)) & 1 == 1
             some = batch.take(pa.array(np.flatnonzero(keep)))
-            for begin in range(0, some.num_rows, SLICE):
-                part = some.slice(begin, SLICE)
+            for part in slices(some, 1, SLICE):
                 sets = shingle_sets(pc.fill_null(part.column(1), b"").to_pylist(), words)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())], names=["id", "set"])
 
     slot = [F.pmod(F.xxhash64(F.col("id"), F.lit(s)), F.lit(FILTER_BITS)) for s in (1, 2)]
     rows = df.select(as_long(F.col(id_col)).alias("id"), F.col(text_col).cast("string").cast("binary").alias("text")).where("id is not null")
-    sets = materialise(rows.select("id", "text", *[s.alias(f"s{i}") for i, s in enumerate(slot)]).mapInArrow(wanted, "id long, set binary"))
+    return materialise(rows.select("id", "text", *[s.alias(f"s{i}") for i, s in enumerate(slot)]).mapInArrow(wanted, "id long, set binary"))
+
+
+def lonely(sets: DataFrame) -> DataFrame:
+    """``(id, size, own)``: how many shingles a document has, and how many of them no other of these documents has."""
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                sets_ = [np.frombuffer(v, "<i8") for v in part.column(1).to_pylist()]
+                sizes = [len(x) for x in sets_]
+                ids = np.repeat(part.column(0).to_numpy(), sizes)
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate(sets_ or [np.zeros(0, "<i8")]))], names=["id", "shingle"])
+
+    single = sets.mapInArrow(spread, "id long, shingle long").groupBy("shingle").agg(F.min("id").alias("id"), F.max("id").alias("other")).where("id = other")
+    own = single.groupBy("id").agg(F.count("*").alias("own"))
+    sizes = sets.groupBy("id").agg(F.max(F.octet_length("set") / 8).cast("long").alias("size"))
+    return sizes.join(own, "id", "left").select("id", "size", F.coalesce("own", F.lit(0)).alias("own"))
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs ``(a, b)`` whose whole shingle sets reach the similarity.
+
+    The first join brings one set to each pair, the second the other; a document in many pairs is a skewed key that the
+    planner splits.
+    """
     both = pairs.join(sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b").join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,8 +191,8 @@ def confirmed(pairs: DataFrame, df: DataFrame, words: int, percent: int, id_col:
                 x, y = np.frombuffer(batch.column(2)[i].as_buffer(), "<u8"), np.frombuffer(batch.column(3)[i].as_buffer(), "<u8")
                 if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
                     continue
-                shared_ = len(np.intersect1d(x, y, assume_unique=True))
-                if 100 * shared_ >= percent * (len(x) + len(y) - shared_):
+                both_ = len(np.intersect1d(x, y, assume_unique=True))
+                if 100 * both_ >= percent * (len(x) + len(y) - both_):
                     good.append(i)
             part = batch.take(pa.array(good, pa.int64()))
             yield pa.RecordBatch.from_arrays(part.columns[:2], names=["src", "dst"])
@@ -180,10 +208,13 @@ def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, seed: int
        region. Regions above ``REGION`` go deeper, along the next minima, and classes alike even there are dealt out by the
        hash of the id; so blocks stay small however many copies there are.
     3. First round: each class and its most similar neighbour of all orders; such pairs are confirmed on whole sets.
-    4. Second round: regions that still hold several components are searched whole: every class outside a region's largest
-       component against all of the region, in blocks. What similar pairs of different components there are is confirmed
-       too. So what the first round left out is made good, without pairs inside a component.
-    5. Components of the confirmed links.
+    4. Second round, for regions that still hold several components: how many shingles of a class are its own, in none of
+       these classes, bounds its similarity to any of them; classes that can't reach it are done. The others meet the class
+       of the region's largest component that has the least of its own.
+    5. Third round, for what is still apart: every class outside a region's largest component against all of the region, in
+       blocks; pairs that the bound and the signatures allow are confirmed. So what the first rounds left out is made good,
+       without pairs inside a component.
+    6. Components of the confirmed links.
 
     A pair at the similarity is missed only where it shares no region in any order (about 2 in 10,000 at 0.8, none at 1) or
     shares fewer than 36 of 64 minima (about 3 in a million); other paths between two documents make even that unlikely to
@@ -216,24 +247,40 @@ def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, seed: int
     partners = best_partners(cells, least).unionByName(hooks.select("a", "b", "same"))
     chosen = partners.groupBy("b").agg(F.max_by("a", F.struct("same", -F.col("a"))).alias("a")).select("a", "b")
     hooked = hooks.select("a", "b")
+    ends = lambda pairs: pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
     first = materialise(chosen.unionByName(hooked).distinct())
-    links = materialise(confirmed(first, df, words, percent, id_col, text_col))
-    parts = components(links)
-
-    member = multi.select("region", "id").join(parts, "id", "left").select("region", "id", F.coalesce("component_id", "id").alias("comp"))
-    member = materialise(member)
-    main = member.groupBy("region", "comp").agg(F.count("*").alias("k")).groupBy("region").agg(
-        F.max_by("comp", F.struct("k", -F.col("comp"))).alias("main"), F.sum("k").alias("m"), F.max("k").alias("most")
-    )
-    open_ = main.where("m > most").withColumn("cs", F.ceil(F.col("m") / (2 * REGION)).cast("int")).withColumn("ds", F.ceil((F.col("m") - F.col("most")) / (2 * REGION)).cast("int"))
-    rows = materialise(member.join(open_, "region").join(sigs, "id"))
+    links = materialise(confirmed(first, sets_of(ends(first), df, words, id_col, text_col), percent))
+
+    def opened(parts: DataFrame) -> DataFrame:
+        """Members of the regions that hold several components, with the largest of them as ``main``."""
+        member = materialise(multi.select("region", "id").join(parts, "id", "left").select("region", "id", F.coalesce("component_id", "id").alias("comp")))
+        main = member.groupBy("region", "comp").agg(F.count("*").alias("k")).groupBy("region").agg(
+            F.max_by("comp", F.struct("k", -F.col("comp"))).alias("main"), F.sum("k").alias("m"), F.max("k").alias("most")
+        )
+        return materialise(member.join(main.where("m > most").select("region", "main"), "region"))
+
+    open_ = opened(components(links))
+    sets = sets_of(open_.select("id").distinct(), df, words, id_col, text_col)
+    # A document of which more than the rest to the similarity is its own links with nothing here.
+    known = materialise(lonely(sets).where(100 * F.col("own") <= (100 - percent) * F.col("size")))
+    able = open_.join(known, "id")
+    hub = able.where("comp = main").groupBy("region").agg(F.min_by("id", F.struct(F.col("own") / F.col("size"), "id")).alias("hub"))
+    to_hub = able.where("comp <> main").join(hub, "region").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
+    second = materialise(to_hub.join(first, ["a", "b"], "left_anti"))
+    links = materialise(links.unionByName(confirmed(second, sets, percent)))
+
+    able = opened(components(links)).join(known, "id")
+    counts = able.groupBy("region").agg(F.count("*").alias("m"), F.count(F.when(F.col("comp") != F.col("main"), 1)).alias("s")).where("s > 0")
+    cuts = counts.select("region", F.ceil(F.col("m") / (2 * REGION)).cast("int").alias("cs"), F.ceil(F.col("s") / (2 * REGION)).cast("int").alias("ds"))
+    rows = materialise(able.join(cuts, "region").join(sigs, "id"))
     c, d = F.pmod(F.xxhash64("id", F.lit(6)), F.col("cs")).cast("int"), F.pmod(F.xxhash64("id", F.lit(8)), F.col("ds")).cast("int")
-    every = rows.select("region", c.alias("c"), F.explode(F.sequence(F.lit(0), F.col("ds") - 1)).alias("d"), "id", "comp", "sig", F.lit(False).alias("odd"))
-    odd = rows.where("comp <> main").select("region", F.explode(F.sequence(F.lit(0), F.col("cs") - 1)).alias("c"), d.alias("d"), "id", "comp", "sig", F.lit(True).alias("odd"))
+    columns = ["id", "comp", "size", "own", "sig"]
+    every = rows.select("region", c.alias("c"), F.explode(F.sequence(F.lit(0), F.col("ds") - 1)).alias("d"), *columns, F.lit(False).alias("odd"))
+    odd = rows.where("comp <> main").select("region", F.explode(F.sequence(F.lit(0), F.col("cs") - 1)).alias("c"), d.alias("d"), *columns, F.lit(True).alias("odd"))
     cross = every.unionByName(odd).repartition("region", "c", "d").sortWithinPartitions("region", "c", "d")
-    second = materialise(strangers(cross, least).join(first, ["a", "b"], "left_anti"))
-    more = confirmed(second, df, words, percent, id_col, text_col)
-    final = components(links.unionByName(more))
+    tried = first.unionByName(second)
+    third = materialise(strangers(cross, least, percent).join(tried, ["a", "b"], "left_anti"))
+    final = components(links.unionByName(confirmed(third, sets, percent)))
 
     labelled = classes.select("h1", "h2", "n", "id").join(final, "id", "left").select("h1", "h2", "n", F.coalesce("component_id", "id").alias("component_id"))
     out = sketched.select("id", "n", "h1", "h2").join(labelled, ["h1", "h2", "n"], "left")
