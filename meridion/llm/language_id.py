@@ -108,9 +108,13 @@ def sample_of(df: DataFrame, keep: Column, per_language: int, id_col: str, text_
     """``(lang, text)``: about ``per_language`` labelled rows of each language, chosen by the hash of the id."""
     rows = df.where(keep & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     rows = rows.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").cast("binary").alias("text"))
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("rows")).withColumnRenamed("lang", "of")
+    # One number for each language, as the model has rows for each language; joining them would shuffle the texts.
+    sizes = rows.groupBy("lang").count().collect()
+    if not sizes:
+        return rows.select("lang", "text").where(F.lit(False))
+    n = F.element_at(F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], float(r["count"]))]), F.col("lang"))
     draw = F.pmod(F.xxhash64("id", F.lit(17)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    return rows.join(sizes, F.col("lang") == F.col("of")).where(draw * F.col("rows") < per_language).select("lang", "text")
+    return rows.where(draw * n < per_language).select("lang", "text")
 
 
 def fit(df: DataFrame, keep: Column, per_language: int = 2000, sharpness: float = 12.0, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
