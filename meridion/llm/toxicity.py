@@ -123,8 +123,8 @@ def labelled_tokens(
     that the rare words of a text that was copied many times don't pass for evidence. ``flat`` holds the features of the distinct tokens end to end, as small numbers, and ``size`` how many each token has.
 
     A feature carries toxicity when at least ``support`` toxic documents have it, its smoothed share among toxic documents is
-    ``ratio`` times that among clean ones, and so many toxic among the documents that have it would be expected of fewer
-    than one of all the features tried by chance (Chernoff's bound of the binomial tail). In toxic documents tokens with such a feature are toxic; toxic documents
+    ``ratio`` times that among clean ones, and a one-in-twenty chance that any of all the features tried had so many toxic among
+    its documents by accident (Chernoff's bound of the binomial tail). In toxic documents tokens with such a feature are toxic; toxic documents
     without one are not explained and teach nothing.
     """
     owner = np.repeat(np.arange(len(toxic)), np.diff(begins))
@@ -149,7 +149,7 @@ def labelled_tokens(
     part = np.clip(bad / np.maximum(bad + good, 1), 1e-12, 1 - 1e-12)
     surprise = (bad + good) * (part * np.log(part / prior) + (1 - part) * np.log((1 - part) / (1 - prior)))
     tried = max(1, int((bad + good >= support).sum()))
-    carrier = (bad >= support) & (share >= ratio) & (surprise >= np.log(tried))
+    carrier = (bad >= support) & (share >= ratio) & (surprise >= np.log(20 * tried))
     hit = np.bincount(of, weights=carrier[flat], minlength=len(size)) > 0
     labels = hit[index] & (toxic[owner] == 1)
     explained = np.bincount(owner, weights=labels, minlength=len(toxic)) > 0
