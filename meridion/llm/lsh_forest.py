@@ -103,30 +103,73 @@ def best_partners(cells: DataFrame, least: int) -> DataFrame:
 
 
 def strangers(cells: DataFrame, least: int, percent: int) -> DataFrame:
-    """``(a, b)``: in each cell the pairs of an odd row and any row that may be a link between components.
+    """``(a, b)``: in each region the pairs of an odd row and any row that may be a link between components.
 
     They are of different components, share ``least`` minima, and their sets can reach the similarity: no more of a set can be
     shared than what isn't its document's own.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for cell in grouped(batches, ["region", "c", "d"]):
+        for cell in grouped(batches, ["region"]):
             odd = cell.column("odd").to_numpy(zero_copy_only=False)
             ids, comp, size, own = (cell.column(c).to_numpy() for c in ("id", "comp", "size", "own"))
             sig = fixed_rows(cell.column("sig"), "<u4")
-            x, y = np.flatnonzero(odd), np.flatnonzero(~odd)
-            for lo in range(0, len(x), 256):
-                part = x[lo : lo + 256]
-                may = np.minimum((size - own)[part][:, None], (size - own)[y][None, :])
-                fits = 100 * may >= percent * (size[part][:, None] + size[y][None, :] - may)
-                i, j = np.nonzero((alike(sig[part], sig[y]) >= least) & (comp[part][:, None] != comp[y][None, :]) & fits)
-                if len(i):
-                    p, q = ids[part[i]], ids[y[j]]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], names=["a", "b"])
+            x, free = np.flatnonzero(odd), size - own
+            if not len(x):
+                continue
+            may = np.minimum(free[x][:, None], free[None, :])
+            fits = 100 * may >= percent * (size[x][:, None] + size[None, :] - may)
+            i, j = np.nonzero((alike(sig[x], sig) >= least) & (comp[x][:, None] != comp[None, :]) & fits)
+            p, q = ids[x[i]], ids[j]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], names=["a", "b"])
 
     return cells.mapInArrow(run, "a long, b long").distinct()
 
 
+def shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many elements each left set shares with each right one: membership matrices, multiplied some columns at a time."""
+    flat = [np.concatenate(side) for side in (left, right)]
+    owner = [np.repeat(np.arange(len(side)), [len(v) for v in side]) for side in (left, right)]
+    common = np.intersect1d(flat[0], flat[1])
+    out = np.zeros((len(left), len(right)), dtype=np.float32)
+    spots = []
+    for values, of in zip(flat, owner, strict=True):
+        at = np.minimum(np.searchsorted(common, values), max(0, len(common) - 1))
+        hit = common[at] == values if len(common) else np.zeros(len(values), dtype=bool)
+        order = np.argsort(at[hit], kind="stable")
+        spots.append((at[hit][order], of[hit][order]))
+    for lo in range(0, len(common), 4096):
+        parts = []
+        for (at, of), n in zip(spots, out.shape, strict=True):
+            a, b = np.searchsorted(at, [lo, lo + 4096])
+            m = np.zeros((n, min(4096, len(common) - lo)), dtype=np.float32)
+            m[of[a:b], at[a:b] - lo] = 1
+            parts.append(m)
+        out += parts[0] @ parts[1].T
+    return out
+
+
+def crossed(cells: DataFrame, percent: int) -> DataFrame:
+    """``(src, dst)``: links between an odd row and the rows of other components in its cell, one for each component."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cell in grouped(batches, ["region", "c", "d"]):
+            odd = cell.column("odd").to_numpy(zero_copy_only=False)
+            ids, comp = cell.column("id").to_numpy(), cell.column("comp").to_numpy()
+            sets = [np.frombuffer(v, "<u8") for v in cell.column("set").to_pylist()]
+            x, y = np.flatnonzero(odd), np.flatnonzero(~odd)
+            if not len(x) or not len(y):
+                continue
+            size = np.array([len(v) for v in sets])
+            both = shared_counts([sets[k] for k in x], [sets[k] for k in y])
+            linked = (100 * both >= percent * (size[x][:, None] + size[y][None, :] - both)) & (comp[x][:, None] != comp[y][None, :])
+            i, j = np.nonzero(linked)
+            _, one = np.unique(np.stack([i, comp[y[j]]]), axis=1, return_index=True)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[x[i[one]]]), pa.array(ids[y[j[one]]])], names=["src", "dst"])
+
+    return cells.mapInArrow(run, "src long, dst long")
+
+
 def sets_of(wanted_ids: DataFrame, df: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
     """``(id, set)``: the whole shingle sets of the wanted documents, made anew from the texts and kept.
 
@@ -211,9 +254,9 @@ def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, seed: int
     4. Second round, for regions that still hold several components: how many shingles of a class are its own, in none of
        these classes, bounds its similarity to any of them; classes that can't reach it are done. The others meet the class
        of the region's largest component that has the least of its own.
-    5. Third round, for what is still apart: every class outside a region's largest component against all of the region, in
-       blocks; pairs that the bound and the signatures allow are confirmed. So what the first rounds left out is made good,
-       without pairs inside a component.
+    5. Third round, for what is still apart: every class outside a region's largest component against all of the region. In
+       small regions the pairs that bound and signatures allow are confirmed; in large ones blocks of sets are compared at
+       once. So what the first rounds left out is made good, without pairs inside a component.
     6. Components of the confirmed links.
 
     A pair at the similarity is missed only where it shares no region in any order (about 2 in 10,000 at 0.8, none at 1) or
@@ -271,16 +314,19 @@ def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, seed: int
 
     able = opened(components(links)).join(known, "id")
     counts = able.groupBy("region").agg(F.count("*").alias("m"), F.count(F.when(F.col("comp") != F.col("main"), 1)).alias("s")).where("s > 0")
-    cuts = counts.select("region", F.ceil(F.col("m") / (2 * REGION)).cast("int").alias("cs"), F.ceil(F.col("s") / (2 * REGION)).cast("int").alias("ds"))
-    rows = materialise(able.join(cuts, "region").join(sigs, "id"))
-    c, d = F.pmod(F.xxhash64("id", F.lit(6)), F.col("cs")).cast("int"), F.pmod(F.xxhash64("id", F.lit(8)), F.col("ds")).cast("int")
-    columns = ["id", "comp", "size", "own", "sig"]
-    every = rows.select("region", c.alias("c"), F.explode(F.sequence(F.lit(0), F.col("ds") - 1)).alias("d"), *columns, F.lit(False).alias("odd"))
-    odd = rows.where("comp <> main").select("region", F.explode(F.sequence(F.lit(0), F.col("cs") - 1)).alias("c"), d.alias("d"), *columns, F.lit(True).alias("odd"))
-    cross = every.unionByName(odd).repartition("region", "c", "d").sortWithinPartitions("region", "c", "d")
-    tried = first.unionByName(second)
-    third = materialise(strangers(cross, least, percent).join(tried, ["a", "b"], "left_anti"))
-    final = components(links.unionByName(confirmed(third, sets, percent)))
+    rows = materialise(able.join(counts, "region"))
+    odd = F.col("comp") != F.col("main")
+    # Small regions: one cell each, which gives pairs to confirm.
+    few = rows.where(F.col("m") <= 4 * REGION).join(sigs, "id").select("region", "id", "comp", "size", "own", "sig", odd.alias("odd"))
+    third = materialise(strangers(few.repartition("region").sortWithinPartitions("region"), least, percent).join(first.unionByName(second), ["a", "b"], "left_anti"))
+    # Large ones: every block of strangers against every block, on whole sets at once; only links come out.
+    many = rows.where(F.col("m") > 4 * REGION).join(sets.dropDuplicates(["id"]), "id")
+    cs, ds = F.ceil(F.col("m") / (8 * REGION)).cast("int"), F.ceil(F.col("s") / (8 * REGION)).cast("int")
+    c, d = F.pmod(F.xxhash64("id", F.lit(6)), cs).cast("int"), F.pmod(F.xxhash64("id", F.lit(8)), ds).cast("int")
+    every = many.select("region", c.alias("c"), F.explode(F.sequence(F.lit(0), ds - 1)).alias("d"), "id", "comp", "set", F.lit(False).alias("odd"))
+    strange = many.where(odd).select("region", F.explode(F.sequence(F.lit(0), cs - 1)).alias("c"), d.alias("d"), "id", "comp", "set", F.lit(True).alias("odd"))
+    cross = every.unionByName(strange).repartition("region", "c", "d").sortWithinPartitions("region", "c", "d")
+    final = components(links.unionByName(confirmed(third, sets, percent)).unionByName(crossed(cross, percent)))
 
     labelled = classes.select("h1", "h2", "n", "id").join(final, "id", "left").select("h1", "h2", "n", F.coalesce("component_id", "id").alias("component_id"))
     out = sketched.select("id", "n", "h1", "h2").join(labelled, ["h1", "h2", "n"], "left")

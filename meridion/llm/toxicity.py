@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pickle
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -164,13 +166,17 @@ def train(texts: list[str], toxic: np.ndarray, rounds: int = 60, ridge: float =
         return model
     names, index, begins = batch_tokens(pa.array(texts, pa.string()))
     pieces = names.to_pylist()
-    feats = [features(p) for p in pieces]
-    size = np.fromiter(map(len, feats), dtype=np.int64, count=len(feats))
-    known, flat = np.unique(np.fromiter((f for fs in feats for f in fs), dtype=np.int64, count=int(size.sum())), return_inverse=True)
+    size = np.empty(len(pieces), dtype=np.int64)
+    hashes = array("L")
+    for i, piece in enumerate(pieces):
+        found = features(piece)
+        size[i] = len(found)
+        hashes.extend(found)
+    known, flat = np.unique(np.frombuffer(hashes, dtype=np.uint64).astype(np.int64) if len(hashes) else np.zeros(0, np.int64), return_inverse=True)
     sigs = np.stack([signature(x, 4, 29) for x in shingle_sets([t.encode() for t in texts], 5)])
     copies = np.stack([np.unique(c, return_inverse=True)[1] for c in sigs.T], axis=1)
     labels, taught, spread = labelled_tokens(index, begins, toxic, size, flat, copies, support, ratio)
-    of = np.repeat(np.arange(len(feats)), size)
+    of = np.repeat(np.arange(len(pieces)), size)
     # A feature of fewer documents has no weight: it could only be learned by heart.
     common = spread[flat] >= support if len(flat) else np.zeros(0, dtype=bool)
     flat, of = flat[common], of[common]
@@ -189,7 +195,7 @@ def train(texts: list[str], toxic: np.ndarray, rounds: int = 60, ridge: float =
     w, bias, trans = np.zeros(n_known), model.bias, np.zeros((2, 2))
     gw, gb, gt = np.full(n_known, 1e-8), 1e-8, np.full((2, 2), 1e-8)
     for _ in range(rounds):
-        e_piece = bias + np.bincount(of, weights=w[flat], minlength=len(feats))
+        e_piece = bias + np.bincount(of, weights=w[flat], minlength=len(pieces))
         e = e_piece[idx]
         forward, backward = chain.run(e, trans)
         p = sigmoid(forward + backward)
@@ -199,7 +205,7 @@ def train(texts: list[str], toxic: np.ndarray, rounds: int = 60, ridge: float =
         joint -= joint.max(axis=0)
         np.exp(joint, out=joint)
         joint /= joint.sum(axis=0)
-        d_token = np.bincount(idx, weights=y - p, minlength=len(feats))
+        d_token = np.bincount(idx, weights=y - p, minlength=len(pieces))
         dw = np.bincount(flat, weights=d_token[of], minlength=n_known) / n - ridge * w
         db = d_token.sum() / n
         dt = (seen_t - joint.sum(axis=1).reshape(2, 2)) / n - ridge * trans
@@ -245,11 +251,16 @@ def fit(
 ) -> Crf:
     """Fit on a bounded sample of the labelled rows for which ``keep`` (a column of ``labels``) holds.
 
-    At most ``most_toxic`` and ``most_clean`` rows of at most ``most_bytes`` each: these are all that the driver gets.
+    At most ``most_toxic`` and ``most_clean`` rows of at most ``most_bytes`` each, in one task; the driver gets the model.
     """
-    rows = training_rows(df, labels, keep, most_toxic, most_clean, most_bytes, id_col, text_col, label_col).toPandas()
-    rows = rows.sort_values(["of", "text"], kind="stable")
-    return train(rows["text"].tolist(), rows["toxic"].to_numpy(dtype=np.int64))
+    rows = training_rows(df, labels, keep, most_toxic, most_clean, most_bytes, id_col, text_col, label_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sample = sorted(((x["of"], x["text"], x["toxic"]) for batch in batches for x in batch.to_pylist()), key=lambda r: (str(r[0]), r[1]))
+        model = train([r[1] for r in sample], np.array([r[2] for r in sample], dtype=np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+
+    return pickle.loads(rows.repartition(1).mapInArrow(run, "model binary").first()["model"])
 
 
 def tag(df: DataFrame, model: Crf, at: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
