@@ -125,8 +125,8 @@ def labelled_tokens(
     that the rare words of a text that was copied many times don't pass for evidence. ``flat`` holds the features of the distinct tokens end to end, as small numbers, and ``size`` how many each token has.
 
     A feature carries toxicity when at least ``support`` toxic documents have it, its smoothed share among toxic documents is
-    ``ratio`` times that among clean ones, and a one-in-twenty chance that any of all the features tried had so many toxic among
-    its documents by accident (Chernoff's bound of the binomial tail). In toxic documents tokens with such a feature are toxic; toxic documents
+    ``ratio`` times that among clean ones, and no more than a one-in-twenty chance that any of all the features tried had so many
+    toxic among its documents by accident (Chernoff's bound of the binomial tail). In toxic documents tokens with such a feature are toxic; toxic documents
     without one are not explained and teach nothing.
     """
     owner = np.repeat(np.arange(len(toxic)), np.diff(begins))
@@ -158,6 +158,26 @@ def labelled_tokens(
     return labels, explained | (toxic == 0), bad + good
 
 
+def fitted_line(u: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[float, float]:
+    """Intercept and slope (not falling) of a logistic line by Newton's steps, halved until they help."""
+    middle, spread = float(u.mean()), float(u.std()) or 1.0
+    x = np.stack([np.ones_like(u), (u - middle) / spread], axis=1)
+    c = np.zeros(2)
+    loss = lambda c: float(np.logaddexp(0, x @ c).sum() - y @ (x @ c) + 0.5 * ridge * c @ c)
+    now = loss(c)
+    for _ in range(50):
+        q = sigmoid(x @ c)
+        step = np.linalg.solve((x * (q * (1 - q))[:, None]).T @ x + ridge * np.eye(2), x.T @ (y - q) - ridge * c)
+        while np.abs(step).max() > 1e-6 and loss(c + step) >= now:
+            step = step / 2
+        if np.abs(step).max() <= 1e-6:
+            break
+        c = c + step
+        now = loss(c)
+    slope = max(float(c[1]) / spread, 0.0)
+    return float(c[0]) - slope * middle, slope
+
+
 def train(texts: list[str], toxic: np.ndarray, rounds: int = 60, ridge: float = 1e-4, rate: float = 0.5, support: int = 3, ratio: float = 10.0) -> Crf:
     """Fit by gradient ascent on the conditional likelihood of the labelled tokens (Adagrad), then fit the score's line."""
     model = Crf()
@@ -218,16 +238,7 @@ def train(texts: list[str], toxic: np.ndarray, rounds: int = 60, ridge: float =
     model.weights = {int(known[i]): float(w[i]) for i in np.flatnonzero(np.abs(w) >= 1e-3)}
     model.bias, model.trans = float(bias), trans
     p = model.marginals(pieces, index, begins)
-    u = most_toxic(p, begins)
-    a, b = 0.0, 1.0
-    for _ in range(50):  # Newton's steps of a logistic line, lightly held back
-        q = sigmoid(a + b * u)
-        v = q * (1 - q) + 1e-6
-        g = np.array([(toxic - q).sum() - 1e-3 * a, ((toxic - q) * u).sum() - 1e-3 * b])
-        h = np.array([[v.sum() + 1e-3, (v * u).sum()], [(v * u).sum(), (v * u * u).sum() + 1e-3]])
-        step = np.linalg.solve(h, g)
-        a, b = a + np.clip(step[0], -2, 2), b + np.clip(step[1], -2, 2)
-    model.line = (float(a), float(max(b, 0.0)))
+    model.line = fitted_line(most_toxic(p, begins), toxic)
     return model
 
 
@@ -260,7 +271,8 @@ def fit(
         model = train([r[1] for r in sample], np.array([r[2] for r in sample], dtype=np.int64))
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
 
-    return pickle.loads(rows.repartition(1).mapInArrow(run, "model binary").first()["model"])
+    found = rows.repartition(1).mapInArrow(run, "model binary").first()
+    return pickle.loads(found["model"]) if found else train([], np.zeros(0, dtype=np.int64))
 
 
 def tag(df: DataFrame, model: Crf, at: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
