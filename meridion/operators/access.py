@@ -51,3 +51,9 @@ def new_scopes(entity: DataFrame, permission: DataFrame) -> DataFrame:
 
 def members(subject: DataFrame, group: str) -> DataFrame:
     return subject.where(F.array_contains("groups_memberships", group))
+
+
+def memberships(subject: DataFrame) -> DataFrame:
+    """``(subject_id, group_id)`` of the groups that are subjects themselves."""
+    groups = subject.where("subject_type = 'group'").select(F.col("subject_id").alias("group_id"))
+    return subject.select("subject_id", F.explode("groups_memberships").alias("group_id")).join(groups, "group_id", "left_semi").select("subject_id", "group_id")

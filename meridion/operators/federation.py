@@ -74,3 +74,10 @@ def owners(attribute: DataFrame, registered: DataFrame) -> DataFrame:
     rank = F.when(F.col("mode") == "exclusive", 0).when(F.col("mode") == "redirect", 1).otherwise(2)
     best = registered.withColumn("r", rank).groupBy("attribute_name").agg(F.min_by(F.struct("source", "mode"), F.struct("r", "source")).alias("o"))
     return attribute.join(best, "attribute_name", "left").select(*attribute.columns, F.coalesce("o.source", F.lit("local")).alias("owner"), F.coalesce("o.mode", F.lit("local")).alias("mode"))
+
+
+def single_registrations(registration: DataFrame) -> DataFrame:
+    """One row for each entity selector of each part of a registration; what isn't stated is null."""
+    info = registration.select("id", "operations", F.explode_outer("information").alias("i"))
+    rows = info.select("id", "operations", F.col("i.names").alias("names"), F.explode_outer("i.entities").alias("e"))
+    return rows.select("id", "operations", "names", F.col("e.id").alias("entity_id"), F.col("e.pattern").alias("pattern"), F.col("e.types").alias("types"))

@@ -145,3 +145,19 @@ def patched(rows: DataFrame, old: str = "payload", new: str = "patch") -> DataFr
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     return rows.mapInArrow(run, rows.schema)
+
+
+def absent(current: DataFrame, change: DataFrame) -> DataFrame:
+    """Attributes of the changed entities that the change doesn't have: what a replacement deletes."""
+    new = change.select(*[F.col(k).alias(f"__{k}") for k in KEY])
+    test = F.lit(True)
+    for k in KEY:
+        test = test & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    return current.join(change.select("entity_id").distinct(), "entity_id", "left_semi").join(new, test, "left_anti")
+
+
+def created(batch: DataFrame, entity: DataFrame) -> DataFrame:
+    """``(entity_id, status)``: created, revived where it was deleted, or exists."""
+    known = entity.select("entity_id", F.lit(True).alias("__known"), F.col("deleted_at").isNotNull().alias("__gone"))
+    status = F.when(F.col("__known").isNull(), "created").when(F.col("__gone"), "revived").otherwise("exists")
+    return batch.join(known, "entity_id", "left").select("entity_id", status.alias("status"))

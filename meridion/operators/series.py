@@ -121,3 +121,9 @@ def method_series(buckets: DataFrame, methods: Iterable[str], keys: tuple[str, .
     rows = buckets.select(*keys, "start", "end", F.explode(entries).alias("e"))
     triples = F.sort_array(F.collect_list(F.struct("start", "end", F.col("e.value").alias("value"))))
     return rows.groupBy(*keys, F.col("e.method").alias("method")).agg(triples.alias("values"))
+
+
+def normalized(series: DataFrame, keys: tuple[str, ...] = ("entity_id", "attribute_name")) -> DataFrame:
+    """Normalized temporal representation: per series its instances in order of time."""
+    entry = F.struct("time", "instance_id", F.col("measured_value").alias("value"))
+    return series.groupBy(*keys).agg(F.sort_array(F.collect_list(entry)).alias("instances"))

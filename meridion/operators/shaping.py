@@ -145,3 +145,18 @@ def nested(parent: DataFrame, edges: DataFrame, child: DataFrame, name: str) ->
 def in_list_order(wanted: DataFrame, entity: DataFrame) -> DataFrame:
     """Entities of a list ``(entity_id, pos)``, in its order."""
     return entity.join(wanted, "entity_id").orderBy("pos")
+
+
+def concise(document: DataFrame) -> DataFrame:
+    """Instances without what goes without saying: a lone plain value is the value, others keep their members."""
+
+    def shorten(_: Column, instances: Column) -> Column:
+        first = F.get(instances, F.lit(0))
+        langs = F.map_from_entries(F.transform(instances, lambda i: F.struct(F.coalesce(i["lang"], F.lit("@none")), _plain(i))))
+        return (
+            F.when(first["attribute_type"] == "LanguageProperty", F.to_json(F.create_map(F.lit("languageMap"), langs)))
+            .when(F.size(instances) > 1, F.to_json(F.transform(instances, lambda i: F.struct(i["dataset_id"].alias("datasetId"), _plain(i).alias("value")))))
+            .otherwise(_plain(first))
+        )
+
+    return document.withColumn("document", F.transform_values("document", shorten))

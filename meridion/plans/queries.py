@@ -631,3 +631,219 @@ def flagship(spark, d):
     chosen = rows.where(flt.in_time("after", "2024-01-02")).join(users, "entity_id", "left_semi")
     days = series.bucketed(chosen, ["avg"], period("P1D"), origin=F.lit("2024-01-01").cast("timestamp"))
     return series.newest(days, 7, by=("start",)).select("entity_id", "attribute_name", "start", "end", F.round("avg", 6).alias("avg"))
+
+
+# Further operators ------------------------------------------------------------------------------------------------------
+
+@query("S11_event_source", "SELECT 'urn:User:' || user_id AS \"entityId\", 'ATTRIBUTE_UPDATE' AS \"operationType\", event_type AS \"attributeName\" FROM events WHERE event_id % 50 <> 0")
+def s11(spark, d):
+    e = read(spark, d, "events")
+    body = F.to_json(F.struct(F.lit("ATTRIBUTE_UPDATE").alias("operationType"), uri("User", "user_id").alias("entityId"), F.col("event_type").alias("attributeName"), F.to_json(F.struct("value")).alias("operationPayload")))
+    return subs.decoded(e.select(F.when(F.col("event_id") % 50 == 0, F.lit("[]")).otherwise(body).alias("value")), subs.EVENT).select("entityId", "operationType", "attributeName")
+
+
+@query("P19_temporal_normalized", "SELECT entity_id, attribute_name, instance_id, time AS observed_at, measured_value AS value FROM instance WHERE time < TIMESTAMP '2024-01-10'", "instance")
+def p19(spark, d):
+    rows = instances(spark, d).where(flt.in_time("before", "2024-01-10"))
+    return series.normalized(rows).select("entity_id", "attribute_name", F.explode("instances").alias("i")).select("entity_id", "attribute_name", F.col("i.instance_id").alias("instance_id"), F.col("i.time").alias("observed_at"), F.col("i.value").alias("value"))
+
+
+@query("P22_merged_datasets", "SELECT entity_id, attribute_name, count(*) AS instances FROM attribute GROUP BY entity_id, attribute_name", "attribute")
+def p22(spark, d):
+    a = attributes(spark, d)
+    return a.groupBy("entity_id", "attribute_name").agg(F.size(F.collect_list(F.struct("dataset_id", "num", "str", "lang"))).cast("long").alias("instances"))
+
+
+@query("P10_concise", "SELECT entity_id, count(*) FILTER (NOT several) AS plain, count(*) FILTER (several) AS several FROM (SELECT entity_id, attribute_name, count(*) > 1 OR bool_or(lang IS NOT NULL) AS several FROM attribute WHERE deleted_at IS NULL GROUP BY ALL) GROUP BY entity_id", "attribute")
+def p10(spark, d):
+    doc = shaping.concise(shaping.documents(attributes(spark, d)))
+    values_ = F.map_values("document")
+    plain = F.size(F.filter(values_, lambda v: ~v.startswith("[") & ~v.startswith('{"languageMap"')))
+    return doc.select("entity_id", plain.cast("long").alias("plain"), (F.size("document") - plain).cast("long").alias("several"))
+
+
+@query("J2_top_per_series", "SELECT entity_id, attribute_name, instance_id FROM (SELECT *, row_number() OVER (PARTITION BY entity_id, attribute_name ORDER BY time, instance_id) AS n FROM instance) WHERE n <= 2", "instance")
+def j2(spark, d):
+    return series.first_points(instances(spark, d), 2).select("entity_id", "attribute_name", "instance_id")
+
+
+@query("J5_flat_linked", "SELECT DISTINCT dst AS entity_id FROM edge WHERE attribute_name = 'customer' UNION ALL SELECT src FROM edge WHERE attribute_name = 'customer'", "edge")
+def j5(spark, d):
+    roots = read(spark, d, "orders").select(uri("Order", "o_orderkey").alias("entity_id"))
+    return roots.unionByName(shaping.linked(relations(spark, d), roots, 1).select("entity_id").distinct())
+
+
+@query("J8_entities_of_type", "SELECT DISTINCT attribute_name FROM attribute WHERE entity_id IN (SELECT entity_id FROM entity WHERE list_contains(types, 'Supplier'))", "entity", "attribute")
+def j8(spark, d):
+    e = entities(spark, d).where(flt.has_type("Supplier")).select("entity_id")
+    return attributes(spark, d).join(e, "entity_id", "left_semi").select("attribute_name").distinct()
+
+
+@query("J9_types_and_kinds", "SELECT array_to_string(types, ',') AS types, attribute_type, count(*) AS n FROM entity JOIN attribute USING (entity_id) GROUP BY ALL", "entity", "attribute")
+def j9(spark, d):
+    rows = entities(spark, d).select("entity_id", F.array_join("types", ",").alias("types")).join(attributes(spark, d), "entity_id")
+    return rows.groupBy("types", "attribute_type").agg(F.count("*").alias("n"))
+
+
+@query("J15_registration_explode", "SELECT * FROM (VALUES ('r1', 'Customer', NULL), ('r2', 'Supplier', 'balance'), ('r3', 'Customer', 'segment'), ('r4', NULL, 'balance')) t(id, type, name)")
+def j15(spark, d):
+    shape = "id string, operations array<string>, information array<struct<entities: array<struct<id: string, pattern: string, types: array<string>>>, names: array<string>>>"
+    return federation.single_registrations(spark.createDataFrame(REGISTRATIONS, shape)).select("id", F.get("types", F.lit(0)).alias("type"), F.get("names", F.lit(0)).alias("name"))
+
+
+SUBJECTS = [("u1", "user", ["g1", "g2"]), ("u2", "user", ["g2"]), ("c1", "client", None), ("g1", "group", None), ("g2", "group", None)]
+
+
+@query("J18_group_members", "SELECT * FROM (VALUES ('u1', 'g1'), ('u1', 'g2'), ('u2', 'g2')) t(subject_id, group_id)")
+def j18(spark, d):
+    s = spark.createDataFrame(SUBJECTS, "subject_id string, subject_type string, groups_memberships array<string>")
+    return access.memberships(s)
+
+
+@query("J20_replaced_away", "SELECT entity_id, attribute_name, dataset_id FROM attribute a WHERE key % 3 = 0 AND entity_id LIKE 'urn:Customer:%' AND NOT (attribute_name = 'balance' AND dataset_id IS NULL) AND deleted_at IS NULL AND lang IS NULL", "attribute")
+def j20(spark, d):
+    return mutation.absent(attributes(spark, d).where("deleted_at is null and lang is null"), change(spark, d)).select("entity_id", "attribute_name", "dataset_id")
+
+
+@query("A5_object_methods", "SELECT attribute_name, count(*) AS \"totalCount\", count(DISTINCT payload) AS \"distinctCount\" FROM instance GROUP BY ALL", "instance")
+def a5(spark, d):
+    return series.whole_range(instances(spark, d), ["totalCount", "distinctCount"], "payload", "OBJECT", ("attribute_name",)).drop("start", "end")
+
+
+@query("A7_date_methods", "SELECT attribute_name, count(*) AS \"totalCount\", count(DISTINCT strftime(time, '%Y-%m-%d')) AS \"distinctCount\", min(strftime(time, '%Y-%m-%d')) AS min, max(strftime(time, '%Y-%m-%d')) AS max FROM instance GROUP BY ALL", "instance")
+def a7(spark, d):
+    rows = instances(spark, d).withColumn("day", F.date_format("time", "yyyy-MM-dd"))
+    return series.whole_range(rows, ["totalCount", "distinctCount", "min", "max"], "day", "DATE", ("attribute_name",)).drop("start", "end")
+
+
+@query("A9_uri_methods", "SELECT attribute_name, count(*) AS \"totalCount\", count(DISTINCT entity_id) AS \"distinctCount\" FROM instance GROUP BY ALL", "instance")
+def a9(spark, d):
+    return series.whole_range(instances(spark, d), ["totalCount", "distinctCount"], "entity_id", "URI", ("attribute_name",)).drop("start", "end")
+
+
+@query("A10_unsupported", "SELECT attribute_name, NULL::DOUBLE AS sum FROM (SELECT DISTINCT attribute_name FROM instance)", "instance")
+def a10(spark, d):
+    return series.whole_range(instances(spark, d), ["sum"], "payload", "JSON", ("attribute_name",)).drop("start", "end")
+
+
+@query("A13_whole_range", "SELECT entity_id, attribute_name, max(measured_value) AS max, min(time) AS start, max(time) AS \"end\" FROM instance GROUP BY ALL", "instance")
+def a13(spark, d):
+    return series.whole_range(instances(spark, d), ["max"])
+
+
+@query("A19_attributes", "SELECT DISTINCT attribute_name FROM attribute WHERE deleted_at IS NULL", "attribute")
+def a19(spark, d):
+    return attributes(spark, d).where(flt.live()).select("attribute_name").distinct()
+
+
+@query("A22_permission_counts", "SELECT * FROM (VALUES ('ann', 3::BIGINT), ('staff', 1), ('bob', 1)) t(assignee, n)")
+def a22(spark, d):
+    return permissions(spark).groupBy("assignee").agg(F.count("*").alias("n"))
+
+
+@query("W6_scope_last_n", "SELECT entity_id, time FROM (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY time DESC) AS n FROM scope_history) WHERE n <= 2", "scope_history")
+def w6(spark, d):
+    return series.newest(scope_history(spark, d), 2, keys=("entity_id",), by=("time",)).select("entity_id", "time")
+
+
+@query("O3_default_order", "SELECT entity_id, created_at FROM entity ORDER BY created_at, entity_id LIMIT 10", "entity")
+def o3(spark, d):
+    return shaping.page(entities(spark, d).select("entity_id", "created_at").orderBy("created_at", "entity_id"), 10)
+
+
+@query("U4_list_union", "SELECT 'urn:Customer:' || c_custkey AS entity_id FROM customer UNION ALL SELECT 'urn:Supplier:' || s_suppkey FROM supplier")
+def u4(spark, d):
+    c = read(spark, d, "customer").select(uri("Customer", "c_custkey").alias("entity_id"))
+    return c.unionByName(read(spark, d, "supplier").select(uri("Supplier", "s_suppkey").alias("entity_id")))
+
+
+@query("U7_array_tests", "SELECT entity_id, types && ['Creditor', 'Supplier'] AS overlap, list_has_all(types, ['Customer', 'Creditor']) AS contains_all FROM entity", "entity")
+def u7(spark, d):
+    want = F.array(F.lit("Customer"), F.lit("Creditor"))
+    return entities(spark, d).select("entity_id", F.arrays_overlap("types", F.array(F.lit("Creditor"), F.lit("Supplier"))).alias("overlap"), (F.size(F.array_except(want, "types")) == 0).alias("contains_all"))
+
+
+@query("U8_notified_union", "SELECT DISTINCT entity_id FROM instance WHERE attribute_name = 'click' OR measured_value > 90", "instance")
+def u8(spark, d):
+    i = instances(spark, d)
+    return i.where("attribute_name = 'click'").select("entity_id").union(i.where("measured_value > 90").select("entity_id")).distinct()
+
+
+@query("L7_expiry_of_all_sources", "SELECT user_id, CASE WHEN count(e) = count(*) THEN max(e) END AS expires_at FROM (SELECT user_id, CASE WHEN event_id % 2 = 0 THEN ts END AS e FROM events WHERE event_id % 20 < 3) GROUP BY user_id")
+def l7(spark, d):
+    t = F.col("ts").cast("timestamp")
+    none = F.array().cast("array<string>")
+    e = read(spark, d, "events").where("event_id % 20 < 3").select(F.col("user_id").alias("entity_id"), none.alias("types"), none.alias("scopes"), t.alias("created_at"), t.alias("modified_at"), F.when(F.col("event_id") % 2 == 0, t).alias("expires_at"))
+    return federation.merge_members(e).select(F.col("entity_id").alias("user_id"), "expires_at")
+
+
+@query("L9_bucket_merge", "SELECT attribute_name, time FROM (SELECT DISTINCT attribute_name, date_trunc('day', time) AS time FROM instance)", "instance")
+def l9(spark, d):
+    day = lambda rows: rows.select("attribute_name", F.date_trunc("day", "time").alias("time")).distinct()
+    i = instances(spark, d)
+    return federation.merge_series(day(i.where("instance_id % 3 = 0")), day(i.where("instance_id % 3 <> 0")), keys=("attribute_name", "time"))
+
+
+@query("L10_write_owners", "SELECT attribute_name, CASE attribute_name WHEN 'balance' THEN 'x' WHEN 'segment' THEN 'y' ELSE 'local' END AS owner, count(*) AS n FROM attribute GROUP BY ALL", "attribute")
+def l10(spark, d):
+    registered = spark.createDataFrame([("balance", "x", "exclusive"), ("balance", "a", "inclusive"), ("segment", "y", "redirect")], "attribute_name string, source string, mode string")
+    return federation.owners(attributes(spark, d), registered).groupBy("attribute_name", "owner").agg(F.count("*").alias("n"))
+
+
+@query("M1_create_or_revive", "SELECT entity_id, CASE WHEN deleted_at IS NULL THEN 'exists' ELSE 'revived' END AS status FROM entity WHERE entity_id LIKE 'urn:Supplier:%' UNION ALL SELECT 'urn:New:1', 'created'", "entity")
+def m1(spark, d):
+    e = entities(spark, d)
+    batch = e.where(flt.has_type("Supplier")).select("entity_id").unionByName(spark.createDataFrame([("urn:New:1",)], "entity_id string"))
+    return mutation.created(batch, e)
+
+
+@query("M14_scope_replace", "SELECT entity_id, CASE WHEN entity_id LIKE 'urn:Supplier:%' THEN '/new' ELSE array_to_string(scopes, ',') END AS scopes FROM entity", "entity")
+def m14(spark, d):
+    e = entities(spark, d)
+    return mutation.updated_scopes(e, e.where(flt.has_type("Supplier")).select("entity_id", F.array(F.lit("/new")).alias("scopes")), "replace").select("entity_id", F.array_join("scopes", ",").alias("scopes"))
+
+
+@query("M16_append_series", "SELECT entity_id, attribute_name, time, max(instance_id) AS instance_id FROM instance GROUP BY ALL", "instance")
+def m16(spark, d):
+    i = instances(spark, d)
+    return mutation.latest(i.where("instance_id % 2 = 0").unionByName(i.where("instance_id % 2 = 1")), ("entity_id", "attribute_name", "time"), ("instance_id",)).select("entity_id", "attribute_name", "time", "instance_id")
+
+
+@query("M17_delete_instances", "SELECT instance_id FROM instance WHERE instance_id % 4 <> 0", "instance")
+def m17(spark, d):
+    i = instances(spark, d)
+    return mutation.hard_delete(i, i.where("instance_id % 4 = 0"), ("instance_id",)).select("instance_id")
+
+
+@query("T6_cooldown", "SELECT * FROM (VALUES ('a'), ('b'), ('d')) t(sub_id)")
+def t6(spark, d):
+    rows = [("a", None, None, None), ("b", 1000, "failed", "2024-01-01 00:00:00"), ("c", 3600_000, "failed", "2024-01-01 23:30:00"), ("d", 3600_000, None, None)]
+    s = spark.createDataFrame(rows, "sub_id string, cooldown int, status string, f string").withColumn("last_failure", F.col("f").cast("timestamp"))
+    return subs.cooled_down(s, "2024-01-02").select("sub_id")
+
+
+@query("T7_bookkeeping", "SELECT sub_id, count(*) AS times_sent, max(time) AS last_notification FROM (SELECT 's1' AS sub_id, time FROM instance WHERE attribute_name = 'click' AND measured_value >= 50 UNION ALL SELECT 's2', time FROM instance WHERE regexp_matches(entity_id, 'r:[12]$') AND measured_value <= 20) GROUP BY sub_id", "instance")
+def t7(spark, d):
+    return subs.bookkeeping(subs.matches(event_rows(spark, d), subscription_table(spark), "2024-01-01"))
+
+
+@query("T10_status", "SELECT * FROM (VALUES ('s1', 'active'), ('s2', 'active'), ('s3', 'paused'), ('s4', 'expired'), ('s5', 'active')) t(sub_id, status)")
+def t10(spark, d):
+    return subs.status(subscription_table(spark), "2024-01-01").select("sub_id", "status")
+
+
+@query("T9_linked_notification", "SELECT instance_id AS event_id, c_mktsegment AS segment FROM instance JOIN customer ON entity_id = 'urn:User:' || c_custkey WHERE attribute_name = 'click' AND measured_value >= 50", "instance")
+def t9(spark, d):
+    hit = subs.matches(event_rows(spark, d), subscription_table(spark).where("sub_id = 's1'"), "2024-01-01")
+    c = read(spark, d, "customer").select(uri("User", "c_custkey").alias("entity_id"), F.col("c_mktsegment").alias("segment"))
+    return hit.join(c, "entity_id").select("event_id", "segment")
+
+
+@query("Z5_covering_permissions", "SELECT unnest(['p2', 'p4']) AS id")
+def z5(spark, d):
+    return access.covered(permissions(spark).where("target_id is null"), ["Supplier"], ["@none"]).select("id")
+
+
+@query("Z2_granted", "SELECT unnest(['p2', 'p4']) AS id")
+def z2(spark, d):
+    return access.granted(permissions(spark), ["ann"], "write").select("id")

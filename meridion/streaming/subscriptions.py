@@ -159,3 +159,8 @@ def upsert_points(target: str) -> Callable[[DataFrame, int], None]:
 
 def latest_points(stored: DataFrame) -> DataFrame:
     return stored.groupBy("entity_id", "attribute_name", "time").agg(F.max_by("measured_value", "epoch").alias("measured_value"))
+
+
+def bookkeeping(matched: DataFrame) -> DataFrame:
+    """``(sub_id, times_sent, last_notification)`` after the matched events are sent."""
+    return matched.groupBy("sub_id").agg(F.count("*").alias("times_sent"), F.max("time").alias("last_notification"))
