@@ -13,23 +13,17 @@ from meridion.llm.packing import pack
 from meridion.llm.queries import tokenizer
 
 
-def _without(docs: DataFrame, answers: DataFrame, rejected: str) -> DataFrame:
-    """``docs`` without the rows whose id is rejected. Rows with a null id can't be named by an answer and stay."""
-    bad = answers.where(rejected).select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, F.col("doc_id") == F.col("__bad"), "left_anti")
-
-
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the tagger, fitted on the labelled rows outside the held-out fold, doesn't reject."""
     labels = table(spark, sf_dir, "labels")
     model = toxicity.fit(docs, labels, crc_of_id("doc_id") % 5 != 0)
-    return _without(docs, toxicity.tag(docs, model), "predicted = 1").select(*docs.columns)
+    return toxicity.accepted(docs, model)
 
 
 def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language: those without a letter, and those whose codewords are too close to call, go."""
     model = language_id.fit(docs, crc_of_id("doc_id") % 3 != 1)
-    return _without(docs, language_id.predict(docs, model), "lang_pred = 'und' or ambiguous").select(*docs.columns)
+    return language_id.accepted(docs, model)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +32,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Repeated rows of one id are one document; the smallest row stays.
     """
     groups = lsh_forest.near_duplicates(docs, words=5, percent=80)
-    return _without(docs, groups, "not kept").dropDuplicates(["doc_id"]).select(*docs.columns)
+    bad = groups.where("not kept").select(F.col("doc_id").alias("__bad")).distinct()
+    return docs.join(bad, F.col("doc_id") == F.col("__bad"), "left_anti").dropDuplicates(["doc_id"]).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -103,6 +103,16 @@ class Model:
         weights = self.trust / np.maximum(self.trust.sum(axis=1, keepdims=True), 1e-9)
         return (np.logaddexp(0.0, -z) * weights[None, :, :]).sum(axis=2)
 
+    def decide(self, texts: list[bytes], letters: np.ndarray, ambiguous_below: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(number of the language, one more for none; score; whether it is too close to call or none) of each text."""
+        n = len(texts)
+        if not self.langs:
+            return np.zeros(n, dtype=np.int64), np.zeros(n), np.ones(n, dtype=bool)
+        loss = self.losses(self.margins(texts)) * max(1, self.code.shape[1])
+        score = 1.0 / np.exp(-(loss - loss.min(axis=1, keepdims=True))).sum(axis=1)
+        second = np.partition(loss, 1, axis=1)[:, 1] - loss.min(axis=1) if len(self.langs) > 1 else np.full(n, np.inf)
+        return np.where(letters, loss.argmin(axis=1), len(self.langs)), np.where(letters, score, 0.0), ~letters | (second < ambiguous_below)
+
 
 def sample_of(df: DataFrame, keep: Column, per_language: int, id_col: str, text_col: str, lang_col: str) -> DataFrame:
     """``(lang, text)``: about ``per_language`` labelled rows of each language, chosen by the hash of the id."""
@@ -154,28 +164,30 @@ def predict(df: DataFrame, model: Model, ambiguous_below: float = 0.05, id_col:
     """
     rows = df.select(F.col(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     rows = rows.select(F.col(id_col), F.col("text").cast("binary").alias("text"), F.col("text").rlike(r"\p{L}").alias("letters"))
-    bits = max(1, model.code.shape[1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = np.array([*model.langs, "und"], dtype=object)
         for batch in batches:
             for begin in range(0, batch.num_rows, SLICE):
                 part = batch.slice(begin, SLICE)
-                letters = part.column(2).to_numpy(zero_copy_only=False)
-                n = part.num_rows
-                if model.langs:
-                    loss = model.losses(model.margins(part.column(1).to_pylist())) * bits
-                    best = loss.argmin(axis=1)
-                    odds = np.exp(-(loss - loss.min(axis=1, keepdims=True)))
-                    score = 1.0 / odds.sum(axis=1)
-                    second = np.partition(loss, 1, axis=1)[:, 1] - loss.min(axis=1) if len(model.langs) > 1 else np.full(n, np.inf)
-                else:
-                    best, score, second, letters = np.zeros(n, dtype=np.int64), np.zeros(n), np.zeros(n), np.zeros(n, dtype=bool)
-                best = np.where(letters, best, len(model.langs))
-                score = np.where(letters, score, 0.0)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(names[best], pa.string()), pa.array(score), pa.array(~letters | (second < ambiguous_below))], names=[id_col, "lang_pred", "score", "ambiguous"]
-                )
+                best, score, ambiguous = model.decide(part.column(1).to_pylist(), part.column(2).to_numpy(zero_copy_only=False), ambiguous_below)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names[best], pa.string()), pa.array(score), pa.array(ambiguous)], names=[id_col, "lang_pred", "score", "ambiguous"])
 
     kind = df.schema[id_col].dataType.simpleString()
     return rows.mapInArrow(run, f"`{id_col}` {kind}, lang_pred string, score double, ambiguous boolean")
+
+
+def accepted(df: DataFrame, model: Model, ambiguous_below: float = 0.05, text_col: str = "text") -> DataFrame:
+    """The rows of ``df`` whose language is neither ``und`` nor ambiguous, all columns as they are; decided where they are read."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = df.select(*[F.col(f"`{c}`") for c in df.columns], text.cast("binary").alias("__bytes"), text.rlike(r"\p{L}").alias("__letters"))
+    width = len(df.columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for begin in range(0, batch.num_rows, SLICE):
+                part = batch.slice(begin, SLICE)
+                _, _, ambiguous = model.decide(part.column(width).to_pylist(), part.column(width + 1).to_numpy(zero_copy_only=False), ambiguous_below)
+                yield pa.RecordBatch.from_arrays(part.columns[:width], names=part.schema.names[:width]).filter(pa.array(~ambiguous))
+
+    return rows.mapInArrow(run, df.schema)

@@ -6,9 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from meridion.llm.common import materialise
+
 #: Fixed value: what separates words (space and the five control characters from tab to carriage return).
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Sources up to this number are broadcast when a corpus is mixed.
+MOST_SOURCES = 50_000
+
 
 def word_count(text: Column) -> Column:
     """Words of a text; null has none."""
@@ -79,13 +84,16 @@ def mixing_plan(df: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: flo
 def mix(df: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: float = 3.0, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The mixed corpus: every row of ``df``, all columns as they are, as often as ``mixing_plan`` says.
 
-    Only the few numbers of each source are joined to the rows; texts are not shuffled unless the planner has to.
+    Only the few numbers of each source are joined to the rows. Up to ``MOST_SOURCES`` sources they are broadcast (about 50
+    bytes each) and no text is shuffled; more are joined by the planner's choice.
     """
     sizes = df.select(F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"))
     targets = source_targets(sizes, weights, most).select(
         F.col("source").alias("__source"),
         F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(most)))).otherwise(F.lit(0.0)).alias("__rate"),
     )
+    targets = materialise(targets)
+    targets = F.broadcast(targets) if targets.count() <= MOST_SOURCES else targets
     extra = (unit_hash(seed, F.col(id_col)) < F.col("__rate") - F.floor("__rate")).cast("int")
     copies = F.floor("__rate").cast("int") + extra
     return (

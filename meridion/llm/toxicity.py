@@ -305,3 +305,16 @@ def tag(df: DataFrame, model: Crf, at: float = 0.5, id_col: str = "doc_id", text
 
     kind = df.schema[id_col].dataType.simpleString()
     return rows.mapInArrow(run, f"`{id_col}` {kind}, score double, predicted int, spans array<struct<start:int,end:int>>")
+
+
+def accepted(df: DataFrame, model: Crf, text_col: str = "text") -> DataFrame:
+    """The rows of ``df`` whose text isn't predicted toxic, all columns as they are; decided where they are read."""
+    place = df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                names, index, begins = batch_tokens(batch.column(place))
+                yield batch.filter(pa.array(model.score(model.marginals(names.to_pylist(), index, begins), begins) < 0.5))
+
+    return df.mapInArrow(run, df.schema)
