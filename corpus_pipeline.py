@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from meridion.llm import language_id, lsh_forest, mixing, toxicity
@@ -29,11 +29,18 @@ def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (five words, 0.8): the one with the smallest id.
 
-    Repeated rows of one id are one document; the smallest row stays.
+    A document is an id with a text, known by a hash of both: the texts of one id are judged one by one, and where they are
+    near copies of each other, the one with the smallest hash stays. Of rows equal in id and text the smallest row stays.
+    Rows without an id link with nothing and all stay.
     """
-    groups = lsh_forest.near_duplicates(docs, words=5, percent=80)
-    bad = groups.where("not kept").select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, F.col("doc_id") == F.col("__bad"), "left_anti").dropDuplicates(["doc_id"]).select(*docs.columns)
+    keyed = docs.where("doc_id is not null").withColumn("__key", F.xxhash64("doc_id", "text"))
+    groups = lsh_forest.near_duplicates(keyed, words=5, percent=80, id_col="__key").select("__key", "component_id").distinct()
+    members = keyed.select("doc_id", "__key").distinct().join(groups, "__key")
+    first = members.groupBy("component_id").agg(F.min(F.struct("doc_id", "__key")).alias("first")).select("first.*")
+    # Repeated rows are cut to one before the shuffle: the planner limits the window.
+    order = Window.partitionBy("doc_id", "__key").orderBy("__key", *[c for c in docs.columns if c not in ("doc_id", "text")])
+    rows = keyed.withColumn("__n", F.row_number().over(order)).where("__n = 1").join(first, ["doc_id", "__key"], "left_semi")
+    return rows.select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -66,6 +66,26 @@ def test_stages(spark, tables, tmp_path):
     assert all(0 <= x["offset"] and x["offset"] + x["length"] <= 4096 for x in packed)
 
 
+def test_near_duplicates_by_id_and_text(spark):
+    r = random.Random(3)
+    texts = [" ".join(r.choice("abcdefghij") + str(r.randint(0, 99)) for _ in range(40)) for _ in range(8)]
+    near = texts[0] + " more"
+    rows = [
+        (1, texts[0], "s0"), (2, texts[1], "s0"), (2, texts[2], "s0"),  # one id, two texts
+        (3, near, "s0"), (3, texts[3], "s0"),  # one of an id's texts is a near copy of another document
+        (4, texts[4], "s2"), (4, texts[4], "s1"), (4, texts[4], "s2"),  # one document, several rows
+        (5, texts[5], "s0"), (5, texts[5] + " more", "s0"),  # near copies of one id
+        (None, texts[6], "s0"), (None, texts[7], "s0"), (None, texts[7], "s0"), (None, texts[0], "s0"), (None, None, "s0"),
+    ]
+    df = spark.createDataFrame([(i, t, "en", s, len(t or "")) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.drop_near_duplicates(spark, df.repartition(4), "")
+    assert out.columns == COLUMNS
+    got = [(x["doc_id"], x["text"], x["source"]) for x in out.collect()]
+    assert sum(x[0] == 5 for x in got) == 1
+    want = [rows[k] for k in (0, 1, 2, 4, 6)] + rows[10:]
+    assert sorted((x for x in got if x[0] != 5), key=str) == sorted(want, key=str)
+
+
 def test_run_equals_its_stages_and_is_registered(spark, tables):
     import __spark_entry__
 
