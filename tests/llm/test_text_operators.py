@@ -61,6 +61,25 @@ def test_templates_generalise_merge_and_reject(spark):
     assert nodes["g", "+"]["n"] == 2 and nodes["g", "c"]["n"] == 1
 
 
+@pytest.mark.parametrize("mostly", ["blocked", "allowed"])
+def test_undecided_urls_follow_their_host(spark, mostly):
+    rest = [f"http://h{i}.net/es/{i}" if mostly == "blocked" else f"http://h{i}.com/{i}" for i in range(900)]
+    bad = [f"http://bad.net/{lang}/p{i}" for i in range(40) for lang in ("es", "fr")]
+    mixed = [f"http://mixed.org/ok/p{i}" for i in range(20)] + [f"http://mixed.org/bad/p{i}" for i in range(20)]
+    undecided = {
+        "http://lone.org/a/b": "allow", "http://lone.org/": "allow",  # no label on the host
+        "http://bad.net/de/x": "block", "http://bad.net/": "block",  # all labels of the host are blocked
+        "http://mixed.org/new/x": "allow", "http://mixed.org/": "allow",
+        "http://mixed.org/bad": "block", "http://mixed.org/ok": "allow",  # the labelled branch itself, bare
+    }
+    rules = (*RULES, ("allow", "mixed.org", "/ok/"), ("block", "mixed.org", "/bad/"))
+    urls = rest + bad + mixed + list(undecided)
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    said = {urls[x["page_id"]]: x for x in judge_urls(df, rules=rules).collect()}
+    assert all(said[u]["rule"] is None for u in undecided)
+    assert {u: said[u]["verdict"] for u in undecided} == undecided
+
+
 def test_language(spark):
     rows = documents(600, 1)
     df = spark.createDataFrame(rows + ODD, DOCS)
