@@ -1,4 +1,4 @@
-"""Near-duplicate texts by an LSH forest: several sorted orders of a minhash signature, with exact confirmation."""
+"""Near-duplicate texts by LSH banding of a minhash signature, in place of an LSH forest, with exact confirmation."""
 
 from __future__ import annotations
 
@@ -48,8 +48,8 @@ def signatures(df: DataFrame, words: int, seed: int, id_col: str, text_col: str)
 def regions(reps: DataFrame) -> DataFrame:
     """``(region, deep, id)``: for each order a hash of the signature's first minima there, and a hash of the next ones.
 
-    Documents of one region are those with a common prefix of ``DEPTH``; sorted by ``deep``, longer common prefixes stand
-    together.
+    Documents of one region are those that share all of the first ``DEPTH`` minima; of them, those with the same ``deep`` share
+    the next ``DEPTH`` too. Nothing between is told apart: ``deep`` is a hash, and its order says nothing of shared minima.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,9 +247,9 @@ def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, seed: int
     """``(id, n_shingles, component_id, kept)`` for every row.
 
     1. Documents with the same shingle set are one class; from here on only its smallest id is looked at.
-    2. Each class has 64 minima; 16 orders of them are the forest. Classes with a common prefix of four in an order are a
-       region. Regions above ``REGION`` go deeper, along the next minima, and classes alike even there are dealt out by the
-       hash of the id; so blocks stay small however many copies there are.
+    2. Each class has 64 minima in 16 bands of four. Classes that agree in a band are a region. Regions above ``REGION`` are
+       dealt out by a hash of four further minima, and classes alike even there by the hash of the id; so blocks stay small
+       however many copies there are.
     3. First round: each class and its most similar neighbour of all orders; such pairs are confirmed on whole sets.
     4. Second round, for regions that still hold several components: how many shingles of a class are its own, in none of
        these classes, bounds its similarity to any of them; classes that can't reach it are done. The others meet the class
@@ -260,8 +260,8 @@ def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, seed: int
     6. Components of the confirmed links.
 
     A pair at the similarity is missed only where it shares no region in any order (about 2 in 10,000 at 0.8, none at 1) or
-    shares fewer than 36 of 64 minima (about 3 in a million); other paths between two documents make even that unlikely to
-    part a component.
+    shares fewer than 36 of 64 minima (about 3 in a million), and then found only through other documents that link
+    the two.
 
     A text without words, or null, has an empty set, links with nothing and is its own component. Rows with a null id
     link with nothing: component null, kept true. Repeated rows get the same answer each. An empty table gives an empty
