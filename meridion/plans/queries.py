@@ -1,4 +1,4 @@
-"""The registered queries of the engine: each inventory operator on the driver's tables, with its DuckDB equivalent."""
+"""The registered queries of the engine: inventory operators on the driver's tables, with their DuckDB equivalents; the README lists those left out."""
 
 from __future__ import annotations
 
