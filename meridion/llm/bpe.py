@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import json
 import unicodedata
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -346,22 +346,33 @@ class WordIds:
     PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+| """
 
     def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
-
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self.dp = PrefixTable(spec["model"])
+        self.path = path
         self.special = [t["content"] for t in spec["added_tokens"]]
         self.pattern = regex.compile(self.PATTERN)
-        self.library = Tokenizer.from_file(path)
+        vocab, suffix = spec["model"]["vocab"], spec["model"].get("end_of_word_suffix") or ""
         alphabet = byte_alphabet()
-        self.base = np.array([self.dp.vocab[c] for c in alphabet], dtype=np.int32)
-        self.closed = np.array([self.dp.vocab[c + self.dp.suffix] for c in alphabet], dtype=np.int32)
-        pairs = sorted(self.dp.merge.items())
-        self.pair_keys = np.array([k for k, _ in pairs], dtype=np.int64)
-        self.pair_ranks = np.array([r for _, r in pairs], dtype=np.int32)
-        made = {rank: i for i, rank in enumerate(self.dp.rank) if rank >= 0}
-        self.made = np.array([made[r] for r in range(len(pairs))], dtype=np.int32)
+        self.base = np.array([vocab[c] for c in alphabet], dtype=np.int32)
+        self.closed = np.array([vocab[c + suffix] for c in alphabet], dtype=np.int32)
+        merges = [pair if isinstance(pair, list | tuple) else pair.split(" ") for pair in spec["model"]["merges"]]
+        keys = np.array([vocab[a] << 20 | vocab[b] for a, b in merges], dtype=np.int64)
+        self.made = np.array([vocab[a + b] for a, b in merges], dtype=np.int32)
+        order = np.argsort(keys, kind="stable")
+        self.pair_keys, self.pair_ranks = keys[order], order.astype(np.int32)
+
+    @cached_property
+    def dp(self) -> PrefixTable:
+        """The table of prefixes, loaded on the first word above ``LONG``."""
+        with open(self.path, encoding="utf-8") as f:
+            return PrefixTable(json.load(f)["model"])
+
+    @cached_property
+    def library(self):
+        """The library's tokenizer, loaded on the first piece that is left to it."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
 
     def _ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         key = a.astype(np.int64) << 20 | b

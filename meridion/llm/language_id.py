@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from meridion.llm.common import fresh, in_arrow, materialise, slices
+
 SLICE = 1000
 BUCKET_BITS = 15
 
@@ -69,7 +71,7 @@ def gram_counts(rows: DataFrame) -> DataFrame:
                 at = np.flatnonzero(n)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(n[at])], names=["lang", "bucket", "n"])
 
-    return rows.mapInArrow(run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    return in_arrow(rows, run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
 
 
 class Model:
@@ -130,9 +132,11 @@ def sample_of(df: DataFrame, keep: Column, per_language: int, id_col: str, text_
 def fit(df: DataFrame, keep: Column, per_language: int = 2000, sharpness: float = 12.0, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Fit on about ``per_language`` rows of each language (the bound) for which ``keep`` holds, their whole texts.
 
-    The driver gets a count for each language and bucket, and how often each bit is right for each language.
+    The sample is kept in the shared folder, so that texts are read once for it. The driver gets a count for each language
+    and bucket, and how often each bit is right for each language. Rows with a null language or text teach nothing, repeated
+    rows are drawn together, and an empty table gives a model without languages.
     """
-    rows = sample_of(df, keep, per_language, id_col, text_col, lang_col)
+    rows = materialise(sample_of(df, keep, per_language, id_col, text_col, lang_col))
     counted = gram_counts(rows).toPandas()
     langs = sorted(counted["lang"].unique().tolist())
     place = {lang: i for i, lang in enumerate(langs)}
@@ -149,7 +153,7 @@ def fit(df: DataFrame, keep: Column, per_language: int = 2000, sharpness: float
                     mine = right[at == i]
                     yield pa.RecordBatch.from_arrays([pa.array([i] * mine.shape[1], pa.int32()), pa.array(range(mine.shape[1]), pa.int32()), pa.array(mine.sum(axis=0)), pa.array([len(mine)] * mine.shape[1], pa.int64())], names=["lang", "bit", "good", "n"])
 
-        for r in rows.mapInArrow(run, "lang int, bit int, good long, n long").groupBy("lang", "bit").agg(F.sum("good").alias("g"), F.sum("n").alias("n")).collect():
+        for r in in_arrow(rows, run, "lang int, bit int, good long, n long").groupBy("lang", "bit").agg(F.sum("good").alias("g"), F.sum("n").alias("n")).collect():
             model.trust[r["lang"], r["bit"]] = (r["g"] + 1) / (r["n"] + 2)
     return model
 
@@ -159,8 +163,10 @@ def predict(df: DataFrame, model: Model, ambiguous_below: float = 0.05, id_col:
 
     Each bit's classifier gives a margin; the language whose codeword has the least weighted loss is chosen. The score is
     the share of exp(-loss) that it has among all, loss in units of one bit; ``ambiguous`` says that the second-best comes
-    closer than ``ambiguous_below``. Whole texts are read. A null text, one without a letter, and any text when nothing was
-    learned, is ``und`` with score 0 and ambiguous. Repeated rows and null ids get an answer each.
+    closer than ``ambiguous_below``. Whole texts are read, in parts of some megabytes, so a very long text is only held by
+    itself. Of languages with the same loss the first by name is chosen, and the text is ambiguous. A null text, one without
+    a letter, and any text when nothing was learned, is ``und`` with score 0 and ambiguous. Repeated rows and null ids get
+    an answer each; an empty table gives an empty result; other columns are not read, so their names can't clash.
     """
     rows = df.select(F.col(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     rows = rows.select(F.col(id_col), F.col("text").cast("binary").alias("text"), F.col("text").rlike(r"\p{L}").alias("letters"))
@@ -168,26 +174,28 @@ def predict(df: DataFrame, model: Model, ambiguous_below: float = 0.05, id_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = np.array([*model.langs, "und"], dtype=object)
         for batch in batches:
-            for begin in range(0, batch.num_rows, SLICE):
-                part = batch.slice(begin, SLICE)
+            for part in slices(batch, 1, SLICE):
                 best, score, ambiguous = model.decide(part.column(1).to_pylist(), part.column(2).to_numpy(zero_copy_only=False), ambiguous_below)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names[best], pa.string()), pa.array(score), pa.array(ambiguous)], names=[id_col, "lang_pred", "score", "ambiguous"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return rows.mapInArrow(run, f"`{id_col}` {kind}, lang_pred string, score double, ambiguous boolean")
+    return in_arrow(rows, run, f"`{id_col}` {kind}, lang_pred string, score double, ambiguous boolean")
 
 
 def accepted(df: DataFrame, model: Model, ambiguous_below: float = 0.05, text_col: str = "text") -> DataFrame:
-    """The rows of ``df`` whose language is neither ``und`` nor ambiguous, all columns as they are; decided where they are read."""
+    """The rows of ``df`` whose language is neither ``und`` nor ambiguous, all columns as they are; decided where they are read.
+
+    What ``predict`` says of nulls, empty and very long texts, ties and repeated rows holds here; the columns of ``df`` may
+    have any names, and an empty table stays empty.
+    """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = df.select(*[F.col(f"`{c}`") for c in df.columns], text.cast("binary").alias("__bytes"), text.rlike(r"\p{L}").alias("__letters"))
+    rows = df.select(*[F.col(f"`{c}`") for c in df.columns], text.cast("binary").alias(fresh("bytes", df.columns)), text.rlike(r"\p{L}").alias(fresh("letters", df.columns)))
     width = len(df.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for begin in range(0, batch.num_rows, SLICE):
-                part = batch.slice(begin, SLICE)
+            for part in slices(batch, width, SLICE):
                 _, _, ambiguous = model.decide(part.column(width).to_pylist(), part.column(width + 1).to_numpy(zero_copy_only=False), ambiguous_below)
                 yield pa.RecordBatch.from_arrays(part.columns[:width], names=part.schema.names[:width]).filter(pa.array(~ambiguous))
 
-    return rows.mapInArrow(run, df.schema)
+    return in_arrow(rows, run, df.schema)

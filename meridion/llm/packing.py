@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from meridion.llm.bpe import spaced_pieces, taken, word_ids
-from meridion.llm.common import materialise, slices
+from meridion.llm.common import in_arrow, materialise, slices
 
 SLICE = 1500
 
@@ -46,7 +46,7 @@ def tokenised(df: DataFrame, tokenizer: str, capacity: int, end_id: int, id_col:
 
     kind = df.schema[id_col].dataType.simpleString()
     rows = df.select(F.col(id_col), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"`{id_col}` {kind}, piece int, start long, length long, ids_crc32 long")
+    return in_arrow(rows, run, f"`{id_col}` {kind}, piece int, start long, length long, ids_crc32 long")
 
 
 def fullest(available: list[tuple[int, int]], room: int) -> dict[int, int]:
@@ -163,4 +163,4 @@ def pack(
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sequence), pa.array(offset)], names=[*names, "sequence_id", "offset"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return ranked.mapInArrow(run, f"`{id_col}` {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return in_arrow(ranked, run, f"`{id_col}` {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

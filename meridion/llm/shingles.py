@@ -7,7 +7,7 @@ from functools import lru_cache
 import numpy as np
 
 #: Text is hashed in blocks of about this many bytes, so that memory doesn't follow the longest text.
-BLOCK = 1 << 22
+BLOCK = 1 << 19
 
 #: A-Z to a-z; the six separators (space and 0x09-0x0D) to a space; other bytes as they are.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else 32 if b == 32 or 9 <= b <= 13 else b for b in range(256))
@@ -77,6 +77,12 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(hashes), np.searchsorted(place, starts)
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """The sorted distinct values; by sorting, which for hashes is many times faster than ``np.unique``'s table."""
+    values = np.sort(values)
+    return values[np.concatenate([[True], values[1:] != values[:-1]])] if len(values) else values
+
+
 def _factors(words: int) -> np.ndarray:
     return mixed(np.arange(1, words + 2, dtype=np.uint64) * np.uint64(0x632BE59BD9B4E019)) | np.uint64(1)
 
@@ -97,7 +103,7 @@ def shingle_sets(texts: list[bytes], words: int) -> list[np.ndarray]:
     out = []
     for lo, hi in zip(begins[:-1].tolist(), begins[1:].tolist(), strict=True):
         if hi - lo >= words:
-            out.append(np.unique(shingles[lo : hi - words + 1]))
+            out.append(distinct(shingles[lo : hi - words + 1]))
         elif hi > lo:
             parts = np.append(hashes[lo:hi], np.uint64(hi - lo)) * np.append(factors[: hi - lo], factors[words])
             out.append(mixed(parts.sum(dtype=np.uint64, keepdims=True)))

@@ -105,11 +105,12 @@ def test_codewords_differ(n):
     assert min(far) >= (1 if n <= 3 else 2) and (np.abs(code.sum(axis=0)) < n).all()
 
 
-def test_chain_equals_enumeration():
+@pytest.mark.parametrize("stretch", [256, 3, 2, 1])
+def test_chain_equals_enumeration(stretch):
     r = np.random.default_rng(2)
     e, trans = r.standard_normal(9), r.standard_normal((2, 2))
     begins = np.array([0, 4, 4, 5, 9])
-    forward, backward = toxicity.Chain(begins).run(e, trans)
+    forward, backward = toxicity.Chain(begins, stretch).run(e, trans)
     p = toxicity.sigmoid(forward + backward)
     for lo, hi in zip(begins[:-1], begins[1:], strict=True):
         if hi == lo:
