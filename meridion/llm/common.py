@@ -30,6 +30,12 @@ def shared_folder(spark: SparkSession) -> str:
     return str(context.getCheckpointDir())
 
 
+def dropped(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of the shared file system."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Compute ``df`` once and cut its lineage with a reliable checkpoint in the shared folder."""
     shared_folder(df.sparkSession)

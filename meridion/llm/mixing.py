@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from meridion.llm.common import materialise
+from meridion.llm.common import fresh, materialise
 
 #: Fixed value: what separates words (space and the five control characters from tab to carriage return).
 WORD = r"[^\x20\x09-\x0D]+"
@@ -71,6 +71,7 @@ def mixing_plan(df: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: flo
     per source is left to the planner, which broadcasts it only below its size limit and splits skewed keys otherwise.
     """
     rows = df.select(F.col(id_col).alias("__id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"))
+    rows = materialise(rows)  # words are counted once; a row is a few dozen bytes
     targets = source_targets(rows, weights, most).withColumnRenamed("source", "__source")
     rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(most)))).otherwise(F.lit(0.0))
     return (
@@ -85,20 +86,22 @@ def mix(df: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: float = 3.0
     """The mixed corpus: every row of ``df``, all columns as they are, as often as ``mixing_plan`` says.
 
     Only the few numbers of each source are joined to the rows. Up to ``MOST_SOURCES`` sources they are broadcast (about 50
-    bytes each) and no text is shuffled; more are joined by the planner's choice.
+    bytes each) and no text is shuffled; more are joined by the planner's choice. Nulls, empty and very long texts, ties and
+    repeated rows are as in ``mixing_plan``; the columns of ``df`` may have any names.
     """
+    source, rate, copy = (fresh(c, df.columns) for c in ("source", "rate", "copy"))
     sizes = df.select(F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"))
     targets = source_targets(sizes, weights, most).select(
-        F.col("source").alias("__source"),
-        F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(most)))).otherwise(F.lit(0.0)).alias("__rate"),
+        F.col("source").alias(source),
+        F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(most)))).otherwise(F.lit(0.0)).alias(rate),
     )
     targets = materialise(targets)
     targets = F.broadcast(targets) if targets.count() <= MOST_SOURCES else targets
-    extra = (unit_hash(seed, F.col(id_col)) < F.col("__rate") - F.floor("__rate")).cast("int")
-    copies = F.floor("__rate").cast("int") + extra
+    extra = (unit_hash(seed, F.col(id_col)) < F.col(rate) - F.floor(rate)).cast("int")
+    copies = F.floor(rate).cast("int") + extra
     return (
-        df.join(targets, F.col(source_col).cast("string").eqNullSafe(F.col("__source")))
-        .withColumn("__copy", F.explode(F.array_repeat(F.lit(1), copies)))
+        df.join(targets, F.col(source_col).cast("string").eqNullSafe(F.col(source)))
+        .withColumn(copy, F.explode(F.array_repeat(F.lit(1), copies)))
         .select(*[F.col(f"`{c}`") for c in df.columns])
     )
 
@@ -127,7 +130,7 @@ WITH d AS (
          CASE WHEN t.source_size > 0 THEN least(t.target / t.source_size, 3.0) ELSE 0.0 END AS rate
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
 )
-SELECT doc_id, size, source_size, round(target, 3) AS target,
+SELECT doc_id, size, source_size, target,
        (size * (floor(rate)::BIGINT
          + CASE WHEN (('0x' || substr(md5('mix|' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT)::DOUBLE / 4503599627370496.0
                      < rate - floor(rate) THEN 1 ELSE 0 END))::BIGINT AS taken

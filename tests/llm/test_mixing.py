@@ -56,3 +56,13 @@ def test_odd_rows(spark):
     assert mix(df).columns == df.columns
     assert mixing_plan(df.limit(0)).count() == 0 and mix(df.limit(0)).count() == 0
     assert mixing_plan(df.withColumn("text", df.text.substr(1, 0))).selectExpr("sum(copies)").first()[0] == 0
+
+
+def test_mix_with_clashing_names(spark):
+    rows = [(i, f"w{i} x", f"s{i % 3}", 7, 8, 9, 10) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, source_ int, rate int, copy int, size int")
+    out = mix(df)
+    assert out.columns == df.columns
+    want = {r["doc_id"]: r["copies"] for r in mixing_plan(df).collect()}
+    got = [r["doc_id"] for r in out.collect()]
+    assert {i: got.count(i) for i in want} == want

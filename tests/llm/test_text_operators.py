@@ -245,3 +245,17 @@ def test_packing(spark):
         assert at <= 256
     assert len(by) <= sum(w[3] for w in want) / 256 * 1.02 + 2
     assert pack(spark.createDataFrame([], DOCS), WORDS).count() == 0
+
+
+def test_long_text_is_tagged_like_its_parts(spark):
+    r = random.Random(4)
+    words = ["".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(200)]
+    rows = [(i, " ".join(r.choice(words) for _ in range(30)) + (" vileword" if i % 3 == 0 else "")) for i in range(240)]
+    labels = [(i, int(i % 3 == 0)) for i, _ in rows]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.fit(df, spark.createDataFrame(labels, "doc_id long, toxic int"), crc_of_id("doc_id") % 5 != 0)
+    filler = " ".join(r.choice(words) for _ in range(30_000))
+    text = f"{filler}\tvileword/{words[0]}\r\n{filler}, vileword."
+    got = toxicity.tag(spark.createDataFrame([(1, text), (2, filler)], "doc_id long, text string"), model).orderBy("doc_id").collect()
+    assert [x["predicted"] for x in got] == [1, 0]
+    assert [text[s["start"] : s["end"]] for s in got[0]["spans"]] == ["vileword", "vileword"] and got[1]["spans"] == []
