@@ -1,30 +1,44 @@
-"""Near-duplicate texts by LSH banding of a minhash signature, in place of an LSH forest, with exact confirmation."""
+"""Near-duplicate texts by an LSH forest of minhash signatures with exact confirmation."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meridion.llm.common import as_long, components, fixed_rows, grouped, materialise, slices
-from meridion.llm.shingles import mixed, shingle_sets, signature
+from meridion.llm.common import as_long, components, fixed_rows, grouped, in_arrow, materialise, slices
+from meridion.llm.shingles import distinct, mixed, shingle_sets, signature
 
 SLICE = 1000
 
-#: Signature: 16 orders, each of which begins with four minima of its own. A pair of similarity s shares the first four of
-#: some order with probability 1 - (1 - s^4)^16: 0.9998 at 0.8, and more above.
+#: Signature: 16 orders, each of which begins with four minima of its own and goes on with four of others.
 ORDERS, DEPTH = 16, 4
 MINIMA = ORDERS * DEPTH
+LONGEST = 2 * DEPTH
 
-#: Regions of an order up to this size are compared whole; larger ones go deeper.
+#: The shortest common prefix that makes candidates, where a region is sparse.
+SHORTEST = 2
+
+#: How many rows before it in an order a row meets.
+NEAR = 4
+
+#: Rows of an order in one task.
+STRETCH = 200_000
+
+#: Regions up to four times this size are compared whole in the last round, larger ones block against block.
 REGION = 64
 
-#: Bits of the filter of wanted documents that is sent to all tasks: 1 MB whatever the number of documents.
-FILTER_BITS = 1 << 23
+#: Up to so many wanted documents are named to all tasks by a filter of 16 bits each; more are found by a semi-join.
+MOST_WANTED = 500_000
+
+#: Tables of a row for each region up to this length are broadcast (some dozens of bytes each); longer ones are joined by a shuffle.
+MOST_LISTED = 100_000
 
 
 def signatures(df: DataFrame, words: int, seed: int, id_col: str, text_col: str) -> DataFrame:
@@ -42,28 +56,124 @@ def signatures(df: DataFrame, words: int, seed: int, id_col: str, text_col: str)
                 )
 
     rows = df.select(as_long(F.col(id_col)).alias("id"), F.col(text_col).cast("string").cast("binary").alias("text"))
-    return rows.mapInArrow(run, "id long, n long, h1 long, h2 long, sig binary")
+    return in_arrow(rows, run, "id long, n long, h1 long, h2 long, sig binary")
 
 
-def regions(reps: DataFrame) -> DataFrame:
-    """``(region, deep, id)``: for each order a hash of the signature's first minima there, and a hash of the next ones.
+def order_of(t: int) -> np.ndarray:
+    """Which minima order ``t`` sorts by, the most significant first."""
+    return np.concatenate([np.arange(DEPTH) + t * DEPTH, (np.arange(DEPTH) * 5 + (t + 1) * DEPTH) % MINIMA])
 
-    Documents of one region are those that share all of the first ``DEPTH`` minima; of them, those with the same ``deep`` share
-    the next ``DEPTH`` too. Nothing between is told apart: ``deep`` is a hash, and its order says nothing of shared minima.
-    """
+
+def order_keys(classes: DataFrame) -> DataFrame:
+    """``(t, key, id)``: for each order the signature's first minima there, as bytes that sort like the list of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        factors = mixed(np.arange(1, 2 * DEPTH + 1, dtype=np.uint64)) | np.uint64(1)
         for batch in batches:
-            sig = fixed_rows(batch.column(1), "<u4").astype(np.uint64)
-            ids = batch.column(0).to_numpy()
+            sig = fixed_rows(batch.column(1), "<u4")
             for t in range(ORDERS):
-                order = np.concatenate([np.arange(DEPTH) + t * DEPTH, (np.arange(DEPTH) * 5 + (t + 1) * DEPTH) % MINIMA])
-                first = mixed((sig[:, order[:DEPTH]] * factors[:DEPTH]).sum(axis=1, dtype=np.uint64) + np.uint64(t + 1))
-                deep = mixed((sig[:, order[DEPTH:]] * factors[DEPTH:]).sum(axis=1, dtype=np.uint64))
-                yield pa.RecordBatch.from_arrays([pa.array(first.view(np.int64)), pa.array(deep.view(np.int64)), pa.array(ids)], names=["region", "deep", "id"])
+                keys = np.ascontiguousarray(sig[:, order_of(t)].astype(">u4")).view(f"S{4 * LONGEST}")
+                data = pa.Array.from_buffers(pa.binary(4 * LONGEST), len(sig), [None, pa.py_buffer(keys.tobytes())])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(sig), t, np.int32)), data.cast(pa.binary()), batch.column(0)], names=["t", "key", "id"])
+
+    return in_arrow(classes.select("id", "sig"), run, "t int, key binary, id long")
+
+
+#: What a walk along an order finds: pairs (a, b, length of the common prefix), members (region, id), and the rows at the
+#: borders of a task's stretch (border, id, t, key), which the walk over the borders joins.
+FOUND = "kind int, x long, y long, z int, key binary"
+PAIR, MEMBER, BORDER = 0, 1, 2
+
+
+def walked(rows: DataFrame, borders: bool) -> DataFrame:
+    """Neighbours and regions from rows ``(t, key, id)`` that stand in order, some ``NEAR`` of them held at a time.
+
+    Each row meets the rows right before it, which are those with the longest common prefix; so in a dense region only long
+    prefixes make candidates, in a sparse one any of at least ``SHORTEST`` minima. A region is the rows that agree in the
+    first ``DEPTH`` minima; only rows that have a neighbour there, or stand at a border, are named.
+    """
+    factors = mixed(np.arange(1, DEPTH + 1, dtype=np.uint64)) | np.uint64(1)
+
+    def out(kind: int, x: np.ndarray, y: np.ndarray, z: np.ndarray | None = None, key: pa.Array | None = None) -> pa.RecordBatch:
+        n = len(x)
+        z = np.zeros(n, np.int32) if z is None else z.astype(np.int32)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.full(n, kind, np.int32)), pa.array(x.astype(np.int64)), pa.array(y.astype(np.int64)), pa.array(z), pa.nulls(n, pa.binary()) if key is None else key],
+            names=["kind", "x", "y", "z", "key"],
+        )
+
+    def members(t: np.ndarray, minima: np.ndarray, ids: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+        first = (minima[at][:, :DEPTH].astype(np.uint64) * factors).sum(axis=1, dtype=np.uint64)
+        return out(MEMBER, mixed(first + t[at].astype(np.uint64) + np.uint64(1)).view(np.int64), ids[at])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get()
+        number = task.partitionId() if task else 0
+        t, minima, ids = np.zeros(0, np.int32), np.zeros((0, LONGEST), np.uint32), np.zeros(0, np.int64)
+        head = 0
+        named = False  # the last row so far is a member already
+        edge = lambda border, at: out(BORDER, np.full(len(at), border), ids[at], t[at], pa.array([minima[k].astype(">u4").tobytes() for k in at], pa.binary()))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held = len(ids)
+            t = np.concatenate([t, batch.column(0).to_numpy()])
+            minima = np.concatenate([minima, fixed_rows(batch.column(1), ">u4").astype(np.uint32)])
+            ids = np.concatenate([ids, batch.column(2).to_numpy()])
+            new = np.arange(held, len(ids))
+            if borders and head < NEAR:
+                yield edge(number, np.arange(held, min(len(ids), held + NEAR - head)))
+                head = min(NEAR, head + len(new))
+            with_last = np.zeros(len(ids), dtype=np.int64)
+            for back in range(1, NEAR + 1):
+                i = new[new >= back]
+                same = np.logical_and.accumulate(minima[i] == minima[i - back], axis=1).sum(axis=1) * (t[i] == t[i - back])
+                if back == 1:
+                    with_last[i] = same
+                hit = (same >= SHORTEST) & (ids[i] != ids[i - back])
+                if hit.any():
+                    a, b = ids[i[hit]], ids[i[hit] - back]
+                    yield out(PAIR, np.minimum(a, b), np.maximum(a, b), same[hit])
+            joined = with_last >= DEPTH
+            mark = joined.copy()
+            mark[:-1] |= joined[1:]
+            mark[: max(0, held - 1)] = False
+            if held and named:
+                mark[held - 1] = False
+            if borders and not held:
+                mark[0] = True
+            if mark.any():
+                yield members(t, minima, ids, np.flatnonzero(mark))
+            named = bool(mark[-1])
+            t, minima, ids = t[-NEAR:], minima[-NEAR:], ids[-NEAR:]
+        if borders and len(ids):
+            yield edge(number + 1, np.arange(len(ids)))
+            if not named:
+                yield members(t, minima, ids, np.array([len(ids) - 1]))
+
+    return in_arrow(rows, run, FOUND)
+
+
+def forest(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(a, b, depth)``: neighbours in the orders, with the sum of their common prefixes; and ``(region, id)``.
+
+    The orders are sorted together by range, so that a long run of equal prefixes is spread over tasks (the id sorts last);
+    rows at the borders of two tasks meet in a second walk.
+    """
+    stretches = max(1, -(-classes.count() * ORDERS // STRETCH))
+    by_order = order_keys(classes).repartitionByRange(stretches, "t", "key", "id").sortWithinPartitions("t", "key", "id")
+    found = materialise(walked(by_order, borders=True))
+    edges = found.where(f"kind = {BORDER}").select(F.col("x").alias("border"), F.col("z").alias("t"), "key", F.col("y").alias("id"))
+    edges = edges.repartition("border").sortWithinPartitions("border", "t", "key", "id")
+    # Rows of different borders that happen to be neighbours are pairs of one order all the same.
+    across = walked(edges.select("t", "key", "id"), borders=False).where(f"kind = {PAIR}")
+    pairs = found.where(f"kind = {PAIR}").unionByName(across).groupBy(F.col("x").alias("a"), F.col("y").alias("b")).agg(F.sum("z").alias("depth"))
+    return pairs, found.where(f"kind = {MEMBER}").select(F.col("x").alias("region"), F.col("y").alias("id")).distinct()
+
 
-    return reps.select("id", "sig").mapInArrow(run, "region long, deep long, id long")
+def listed(df: DataFrame) -> DataFrame:
+    """A table that is kept, and sent to all tasks where it has at most ``MOST_LISTED`` rows."""
+    df = materialise(df)
+    return F.broadcast(df) if df.count() <= MOST_LISTED else df
 
 
 def alike(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -74,63 +184,58 @@ def alike(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return out
 
 
-def best_partners(cells: DataFrame, least: int) -> DataFrame:
-    """``(a, b, same)``: for each row of a cell its most similar row with a smaller id, if they share ``least`` minima."""
+def candidates(cell: pa.Table, least: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of an odd row and any row of a cell that may be a link between components.
+
+    They are of different components, share ``least`` minima, and their sets can reach the similarity: no more of a set can be
+    shared than what isn't its document's own.
+    """
+    odd = cell.column("odd").to_numpy(zero_copy_only=False)
+    comp, size, own = (cell.column(c).to_numpy() for c in ("comp", "size", "own"))
+    sig = fixed_rows(cell.column("sig"), "<u4")
+    x, free = np.flatnonzero(odd), size - own
+    may = np.minimum(free[x][:, None], free[None, :])
+    fits = 100 * may >= percent * (size[x][:, None] + size[None, :] - may)
+    i, j = np.nonzero((alike(sig[x], sig) >= least) & (comp[x][:, None] != comp[None, :]) & fits)
+    return x[i], j
+
+
+def strangers(cells: DataFrame, least: int, percent: int) -> DataFrame:
+    """``(a, b)``: the candidates of each region."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for cell in grouped(batches, ["region", "block"]):
-            if cell.num_rows < 2:
-                continue
+        for cell in grouped(batches, ["region"]):
             ids = cell.column("id").to_numpy()
-            order = np.argsort(ids, kind="stable")
-            ids = ids[order]
-            sig = fixed_rows(cell.column("sig"), "<u4")[order]
-            bs, best, same = [], [], []
-            for lo in range(0, len(ids), 256):
-                n = alike(sig[lo : lo + 256], sig)
-                n[ids[None, :] >= ids[lo : lo + 256, None]] = -1
-                top = n.argmax(axis=1)
-                most = n[np.arange(len(top)), top]
-                hit = most >= least
-                bs.append(ids[lo : lo + 256][hit])
-                best.append(ids[top[hit]])
-                same.append(most[hit])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(best)), pa.array(np.concatenate(bs)), pa.array(np.concatenate(same).astype(np.int32))], names=["a", "b", "same"]
-            )
-
-    return cells.mapInArrow(run, "a long, b long, same int")
+            i, j = candidates(cell, least, percent)
+            p, q = ids[i], ids[j]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], names=["a", "b"])
 
+    return in_arrow(cells, run, "a long, b long").distinct()
 
-def strangers(cells: DataFrame, least: int, percent: int) -> DataFrame:
-    """``(a, b)``: in each region the pairs of an odd row and any row that may be a link between components.
 
-    They are of different components, share ``least`` minima, and their sets can reach the similarity: no more of a set can be
-    shared than what isn't its document's own.
-    """
+def surviving(cells: DataFrame, least: int, percent: int) -> DataFrame:
+    """The rows ``(region, c, d, id, comp, odd)`` of each cell that are in some candidate pair of odd and other rows."""
+    names = ["region", "c", "d", "id", "comp", "odd"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for cell in grouped(batches, ["region"]):
+        for cell in grouped(batches, ["region", "c", "d"]):
             odd = cell.column("odd").to_numpy(zero_copy_only=False)
-            ids, comp, size, own = (cell.column(c).to_numpy() for c in ("id", "comp", "size", "own"))
-            sig = fixed_rows(cell.column("sig"), "<u4")
-            x, free = np.flatnonzero(odd), size - own
-            if not len(x):
+            if odd.all() or not odd.any():
                 continue
-            may = np.minimum(free[x][:, None], free[None, :])
-            fits = 100 * may >= percent * (size[x][:, None] + size[None, :] - may)
-            i, j = np.nonzero((alike(sig[x], sig) >= least) & (comp[x][:, None] != comp[None, :]) & fits)
-            p, q = ids[x[i]], ids[j]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], names=["a", "b"])
+            i, j = candidates(cell, least, percent)
+            fine = ~odd[j]
+            hit = np.zeros(cell.num_rows, dtype=bool)
+            hit[i[fine]] = hit[j[fine]] = True
+            yield from cell.select(names).filter(pa.array(hit)).combine_chunks().to_batches()
 
-    return cells.mapInArrow(run, "a long, b long").distinct()
+    return in_arrow(cells, run, "region long, c int, d int, id long, comp long, odd boolean")
 
 
 def shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     """How many elements each left set shares with each right one: membership matrices, multiplied some columns at a time."""
     flat = [np.concatenate(side) for side in (left, right)]
     owner = [np.repeat(np.arange(len(side)), [len(v) for v in side]) for side in (left, right)]
-    common = np.intersect1d(flat[0], flat[1])
+    common = np.intersect1d(distinct(flat[0]), distinct(flat[1]), assume_unique=True)
     out = np.zeros((len(left), len(right)), dtype=np.float32)
     spots = []
     for values, of in zip(flat, owner, strict=True):
@@ -167,38 +272,46 @@ def crossed(cells: DataFrame, percent: int) -> DataFrame:
             _, one = np.unique(np.stack([i, comp[y[j]]]), axis=1, return_index=True)
             yield pa.RecordBatch.from_arrays([pa.array(ids[x[i[one]]]), pa.array(ids[y[j[one]]])], names=["src", "dst"])
 
-    return cells.mapInArrow(run, "src long, dst long")
+    return in_arrow(cells, run, "src long, dst long")
 
 
-def sets_of(wanted_ids: DataFrame, df: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """``(id, set)``: the whole shingle sets of the wanted documents, made anew from the texts and kept.
+def sets_of(wanted_ids: DataFrame, repeated: bool, df: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
+    """``(id, set)``: the whole shingle sets of the wanted documents, made anew from the texts and kept, each once.
 
-    A filter of fixed size, sent to all tasks, spares the sets of other documents; what it lets through by chance finds no
-    partner in later joins.
+    Up to ``MOST_WANTED`` documents are named to all tasks by a filter of 16 bits each, so that texts stay where they are
+    read; what it lets through by chance finds no partner in later joins. More are found by a semi-join.
     """
-    slots = wanted_ids.select(F.explode(F.array(*[F.pmod(F.xxhash64(F.col("id"), F.lit(s)), F.lit(FILTER_BITS)) for s in (1, 2)])).alias("slot"))
-    place, bit = F.floor(F.col("slot") / 32).cast("int"), F.expr("shiftleft(1L, cast(pmod(slot, 32) as int))")
-    filled = slots.groupBy(place.alias("place")).agg(F.bit_or(bit).alias("bits")).collect()
-    table = np.zeros(FILTER_BITS // 32, dtype=np.uint32)
-    for r in filled:
-        table[r["place"]] = r["bits"]
-    shared = df.sparkSession.sparkContext.broadcast(table)
+    rows = df.select(as_long(F.col(id_col)).alias("id"), F.col(text_col).cast("string").cast("binary").alias("text")).where("id is not null")
+    count = wanted_ids.count()
+    bits = 1 << max(10, math.ceil(math.log2(max(1, 16 * count))))
+    slots = [F.pmod(F.xxhash64(F.col("id"), F.lit(s)), F.lit(bits)) for s in (1, 2)]
+    if count <= MOST_WANTED:
+        slot = wanted_ids.select(F.explode(F.array(*slots)).alias("slot"))
+        place, bit = F.floor(F.col("slot") / 32).cast("int"), F.expr("shiftleft(1L, cast(pmod(slot, 32) as int))")
+        filled = slot.groupBy(place.alias("place")).agg(F.bit_or(bit).alias("bits")).toArrow()
+        table = np.zeros(bits // 32, dtype=np.uint32)
+        table[filled.column("place").to_numpy()] = filled.column("bits").to_numpy().astype(np.uint32)
+        shared = df.sparkSession.sparkContext.broadcast(table)
+    else:
+        rows, shared = rows.join(wanted_ids, "id", "left_semi"), None
 
     def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = shared.value
         for batch in batches:
-            keep = np.ones(batch.num_rows, dtype=bool)
-            for c in (2, 3):
-                at = batch.column(c).to_numpy()
-                keep &= (bits[at // 32] >> (at % 32).astype(np.uint32)) & 1 == 1
-            some = batch.take(pa.array(np.flatnonzero(keep)))
-            for part in slices(some, 1, SLICE):
+            if shared is not None:
+                keep = np.ones(batch.num_rows, dtype=bool)
+                for c in (2, 3):
+                    at = batch.column(c).to_numpy()
+                    keep &= (shared.value[at // 32] >> (at % 32).astype(np.uint32)) & 1 == 1
+                batch = batch.filter(pa.array(keep))
+            for part in slices(batch, 1, SLICE):
                 sets = shingle_sets(pc.fill_null(part.column(1), b"").to_pylist(), words)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())], names=["id", "set"])
+                sums = [int(s.sum(dtype=np.uint64).view(np.int64)) for s in sets]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sums, pa.int64()), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())], names=["id", "h", "set"])
 
-    slot = [F.pmod(F.xxhash64(F.col("id"), F.lit(s)), F.lit(FILTER_BITS)) for s in (1, 2)]
-    rows = df.select(as_long(F.col(id_col)).alias("id"), F.col(text_col).cast("string").cast("binary").alias("text")).where("id is not null")
-    return materialise(rows.select("id", "text", *[s.alias(f"s{i}") for i, s in enumerate(slot)]).mapInArrow(wanted, "id long, set binary"))
+    sets = in_arrow(rows.select("id", "text", *[s.alias(f"s{i}") for i, s in enumerate(slots)]), wanted, "id long, h long, set binary")
+    if repeated:  # rows of an id with the same set are one
+        sets = sets.groupBy("id", "h").agg(F.first("set").alias("set"))
+    return materialise(sets.select("id", "set"))
 
 
 def lonely(sets: DataFrame) -> DataFrame:
@@ -213,7 +326,7 @@ def lonely(sets: DataFrame) -> DataFrame:
                 ids = np.repeat(part.column(0).to_numpy(), sizes)
                 yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate(sets_ or [np.zeros(0, "<i8")]))], names=["id", "shingle"])
 
-    single = sets.mapInArrow(spread, "id long, shingle long").groupBy("shingle").agg(F.min("id").alias("id"), F.max("id").alias("other")).where("id = other")
+    single = in_arrow(sets, spread, "id long, shingle long").groupBy("shingle").agg(F.min("id").alias("id"), F.max("id").alias("other")).where("id = other")
     own = single.groupBy("id").agg(F.count("*").alias("own"))
     sizes = sets.groupBy("id").agg(F.max(F.octet_length("set") / 8).cast("long").alias("size"))
     return sizes.join(own, "id", "left").select("id", "size", F.coalesce("own", F.lit(0)).alias("own"))
@@ -240,93 +353,88 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             part = batch.take(pa.array(good, pa.int64()))
             yield pa.RecordBatch.from_arrays(part.columns[:2], names=["src", "dst"])
 
-    return both.select("a", "b", "sa", "sb").mapInArrow(check, "src long, dst long")
+    return in_arrow(both.select("a", "b", "sa", "sb"), check, "src long, dst long")
 
 
 def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, seed: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, n_shingles, component_id, kept)`` for every row.
 
     1. Documents with the same shingle set are one class; from here on only its smallest id is looked at.
-    2. Each class has 64 minima in 16 bands of four. Classes that agree in a band are a region. Regions above ``REGION`` are
-       dealt out by a hash of four further minima, and classes alike even there by the hash of the id; so blocks stay small
-       however many copies there are.
-    3. First round: each class and its most similar neighbour of all orders; such pairs are confirmed on whole sets.
-    4. Second round, for regions that still hold several components: how many shingles of a class are its own, in none of
-       these classes, bounds its similarity to any of them; classes that can't reach it are done. The others meet the class
-       of the region's largest component that has the least of its own.
+    2. Each class has 64 minima and stands in 16 sorted orders, each by eight of them. Its candidates are its neighbours in
+       the orders, those with the longest common prefix; how deep that is follows the region: two minima where few share
+       them, up to all eight among copies.
+    3. First round: each class and the neighbour with the longest common prefixes in all orders together; such pairs are
+       confirmed on whole sets.
+    4. Second round, for regions (classes that agree in the first four minima of an order) that still hold several components:
+       how many shingles of a class are its own, in none of these classes, bounds its similarity to any of them; classes that
+       can't reach it are done. The others meet the class of the region's largest component that has the least of its own.
     5. Third round, for what is still apart: every class outside a region's largest component against all of the region. In
-       small regions the pairs that bound and signatures allow are confirmed; in large ones blocks of sets are compared at
-       once. So what the first rounds left out is made good, without pairs inside a component.
+       small regions the pairs that bound and signatures allow are confirmed; in large ones blocks of signatures say which
+       classes may be linked at all, and the sets of those are compared block against block. So what the first rounds left
+       out is made good, without pairs inside a component.
     6. Components of the confirmed links.
 
-    A pair at the similarity is missed only where it shares no region in any order (about 2 in 10,000 at 0.8, none at 1) or
-    shares fewer than 36 of 64 minima (about 3 in a million), and then found only through other documents that link
-    the two.
+    A pair at the similarity is missed only where it is no candidate, shares no region in any order (about 2 in 10,000 at
+    0.8, none at 1) or shares fewer than 36 of 64 minima (about 3 in a million), and then found only through other documents
+    that link the two.
 
     A text without words, or null, has an empty set, links with nothing and is its own component. Rows with a null id
-    link with nothing: component null, kept true. Repeated rows get the same answer each. An empty table gives an empty
-    result. Other columns are not read.
+    link with nothing: component null, kept true. Repeated rows get the same answer each; texts of one id that aren't linked
+    count as one document all the same. Very long texts are read whole. An empty table gives an empty result. Other columns
+    are not read.
     """
     least = 36 * MINIMA // 64
     sketched = materialise(signatures(df, words, seed, id_col, text_col))
+    repeated = bool(sketched.where("id is not null").groupBy("id").count().where("count > 1").limit(1).count())
     grouped_sets = sketched.where("n > 0 and id is not null").groupBy("h1", "h2", "n")
     classes = materialise(grouped_sets.agg(F.min("id").alias("id"), F.min("sig").alias("sig")))
-    sigs = classes.select("id", "sig").groupBy("id").agg(F.min("sig").alias("sig"))
-
-    keys = regions(classes)
-    sizes = keys.groupBy("region").agg(F.count("*").alias("m"), F.min("id").alias("lead")).where("m > 1")
-    multi = materialise(keys.join(sizes, "region"))
-    small = multi.where(F.col("m") <= REGION).select("region", F.lit(0).cast("long").alias("block"), "id")
-    large = multi.where(F.col("m") > REGION)
-    deep = large.groupBy("region", "deep").agg(F.count("*").alias("c"))
-    # A block is a stretch of the order of the deeper minima, and a share of those that agree in all of them.
-    stretch = F.floor(F.shiftrightunsigned("deep", 33).cast("double") / F.lit(2.0**31) * F.ceil(F.col("m") / REGION))
-    share = F.pmod(F.xxhash64("id", F.lit(4)), F.ceil(F.col("c") / REGION))
-    dealt = large.join(deep, ["region", "deep"]).select("region", F.xxhash64(stretch, F.when(F.col("c") > REGION, F.col("deep")), share).alias("block"), "id", "lead")
-    # The smallest id of each block meets the smallest of its region, so that blocks of copies hang together.
-    hooks = dealt.groupBy("region", "block").agg(F.min("id").alias("b"), F.min("lead").alias("a")).where("a < b").select("a", "b", F.lit(0).alias("same"))
-    cells = small.unionByName(dealt.select("region", "block", "id")).join(sigs, "id")
-    cells = cells.repartition("region", "block").sortWithinPartitions("region", "block")
-    partners = best_partners(cells, least).unionByName(hooks.select("a", "b", "same"))
-    chosen = partners.groupBy("b").agg(F.max_by("a", F.struct("same", -F.col("a"))).alias("a")).select("a", "b")
-    hooked = hooks.select("a", "b")
-    ends = lambda pairs: pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    first = materialise(chosen.unionByName(hooked).distinct())
-    links = materialise(confirmed(first, sets_of(ends(first), df, words, id_col, text_col), percent))
+    sigs = classes.select("id", "sig").groupBy("id").agg(F.min("sig").alias("sig")) if repeated else classes.select("id", "sig")
+
+    pairs, member = forest(classes)
+    member = materialise(member)
+    first = materialise(pairs.groupBy("b").agg(F.max_by("a", F.struct("depth", -F.col("a"))).alias("a")).select("a", "b"))
+    sizes = member.groupBy("region").agg(F.count("*").alias("m")).where("m > 1")
+    multi = materialise(member.join(sizes.select("region"), "region", "left_semi"))
+    ends = first.select(F.col("a").alias("id")).unionByName(first.select(F.col("b").alias("id"))).unionByName(multi.select("id"))
+    sets = sets_of(materialise(ends.distinct()), repeated, df, words, id_col, text_col)
+    links = materialise(confirmed(first, sets, percent))
 
     def opened(parts: DataFrame) -> DataFrame:
         """Members of the regions that hold several components, with the largest of them as ``main``."""
-        member = materialise(multi.select("region", "id").join(parts, "id", "left").select("region", "id", F.coalesce("component_id", "id").alias("comp")))
-        main = member.groupBy("region", "comp").agg(F.count("*").alias("k")).groupBy("region").agg(
+        of = materialise(multi.join(parts, "id", "left").select("region", "id", F.coalesce("component_id", "id").alias("comp")))
+        main = of.groupBy("region", "comp").agg(F.count("*").alias("k")).groupBy("region").agg(
             F.max_by("comp", F.struct("k", -F.col("comp"))).alias("main"), F.sum("k").alias("m"), F.max("k").alias("most")
         )
-        return materialise(member.join(main.where("m > most").select("region", "main"), "region"))
+        return materialise(of.join(listed(main.where("m > most").select("region", "main")), "region"))
 
     open_ = opened(components(links))
-    sets = sets_of(open_.select("id").distinct(), df, words, id_col, text_col)
     # A document of which more than the rest to the similarity is its own links with nothing here.
-    known = materialise(lonely(sets).where(100 * F.col("own") <= (100 - percent) * F.col("size")))
-    able = open_.join(known, "id")
+    inside = sets.join(open_.select("id").distinct(), "id", "left_semi")
+    known = materialise(lonely(inside).where(100 * F.col("own") <= (100 - percent) * F.col("size")))
+    able = materialise(open_.join(known, "id"))
     hub = able.where("comp = main").groupBy("region").agg(F.min_by("id", F.struct(F.col("own") / F.col("size"), "id")).alias("hub"))
-    to_hub = able.where("comp <> main").join(hub, "region").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
+    to_hub = able.where("comp <> main").join(listed(hub), "region").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
     second = materialise(to_hub.join(first, ["a", "b"], "left_anti"))
     links = materialise(links.unionByName(confirmed(second, sets, percent)))
 
-    able = opened(components(links)).join(known, "id")
+    able = materialise(opened(components(links)).join(known, "id"))
     counts = able.groupBy("region").agg(F.count("*").alias("m"), F.count(F.when(F.col("comp") != F.col("main"), 1)).alias("s")).where("s > 0")
-    rows = materialise(able.join(counts, "region"))
+    rows = materialise(able.join(listed(counts), "region").join(sigs, "id"))
     odd = F.col("comp") != F.col("main")
     # Small regions: one cell each, which gives pairs to confirm.
-    few = rows.where(F.col("m") <= 4 * REGION).join(sigs, "id").select("region", "id", "comp", "size", "own", "sig", odd.alias("odd"))
+    few = rows.where(F.col("m") <= 4 * REGION).select("region", "id", "comp", "size", "own", "sig", odd.alias("odd"))
     third = materialise(strangers(few.repartition("region").sortWithinPartitions("region"), least, percent).join(first.unionByName(second), ["a", "b"], "left_anti"))
-    # Large ones: every block of strangers against every block, on whole sets at once; only links come out.
-    many = rows.where(F.col("m") > 4 * REGION).join(sets.dropDuplicates(["id"]), "id")
+    # Large ones: every block of strangers against every block, by signatures first; whole sets of what is left, and only
+    # links come out.
+    many = rows.where(F.col("m") > 4 * REGION)
     cs, ds = F.ceil(F.col("m") / (8 * REGION)).cast("int"), F.ceil(F.col("s") / (8 * REGION)).cast("int")
     c, d = F.pmod(F.xxhash64("id", F.lit(6)), cs).cast("int"), F.pmod(F.xxhash64("id", F.lit(8)), ds).cast("int")
-    every = many.select("region", c.alias("c"), F.explode(F.sequence(F.lit(0), ds - 1)).alias("d"), "id", "comp", "set", F.lit(False).alias("odd"))
-    strange = many.where(odd).select("region", F.explode(F.sequence(F.lit(0), cs - 1)).alias("c"), d.alias("d"), "id", "comp", "set", F.lit(True).alias("odd"))
-    cross = every.unionByName(strange).repartition("region", "c", "d").sortWithinPartitions("region", "c", "d")
-    final = components(links.unionByName(confirmed(third, sets, percent)).unionByName(crossed(cross, percent)))
+    rest = ["id", "comp", "size", "own", "sig"]
+    every = many.select("region", c.alias("c"), F.explode(F.sequence(F.lit(0), ds - 1)).alias("d"), *rest, F.lit(False).alias("odd"))
+    strange = many.where(odd).select("region", F.explode(F.sequence(F.lit(0), cs - 1)).alias("c"), d.alias("d"), *rest, F.lit(True).alias("odd"))
+    cells = every.unionByName(strange).repartition("region", "c", "d").sortWithinPartitions("region", "c", "d")
+    left = surviving(cells, least, percent).join(sets, "id").repartition("region", "c", "d").sortWithinPartitions("region", "c", "d")
+    final = components(links.unionByName(confirmed(third, sets, percent)).unionByName(crossed(left, percent)))
 
     labelled = classes.select("h1", "h2", "n", "id").join(final, "id", "left").select("h1", "h2", "n", F.coalesce("component_id", "id").alias("component_id"))
     out = sketched.select("id", "n", "h1", "h2").join(labelled, ["h1", "h2", "n"], "left")
