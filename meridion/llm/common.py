@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import gc
 import tempfile
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -37,9 +38,16 @@ def dropped(spark: SparkSession, folder: str) -> None:
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once and cut its lineage with a reliable checkpoint in the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Compute ``df`` once and cut its lineage: a table in the shared folder, which goes when the application ends.
+
+    Read again, its size is known to the planner, and many small parts are read by few tasks.
+    """
+    spark = df.sparkSession
+    folder = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return spark.read.schema(df.schema).parquet(folder)
 
 
 def give_back() -> None:
@@ -127,33 +135,54 @@ def fixed_rows(column: pa.ChunkedArray | pa.Array, dtype: str) -> np.ndarray:
     return np.frombuffer(b"".join(values), dtype=dtype).reshape(len(values), -1)
 
 
+def local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest number reachable from each of 0 to n - 1 over the links (a, b)."""
+    root = np.arange(n)
+    while True:
+        low = root.copy()
+        np.minimum.at(low, a, root[b])
+        np.minimum.at(low, b, root[a])
+        low = low[low]
+        if np.array_equal(low, root):
+            return root
+        root = low
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """Connected components of ``edges(src long, dst long)`` as ``(id, component_id)``, the component's smallest id.
 
-    Large-star and small-star steps alternate (Kiveris et al., "Connected components in MapReduce and beyond", 2014).
-    Every step groups by node with a ``min`` that combines before the shuffle and joins it back, so a hub's edges are
-    never gathered in one place; each round is checkpointed. Nodes without an edge are absent. Self-edges are dropped.
+    Every task first replaces the links it holds, some hundred thousand at a time, by stars to the smallest node of each of
+    its own components. Then large-star and small-star steps alternate (Kiveris et al., "Connected components in MapReduce
+    and beyond", 2014) until only stars are left. Every step groups by node with a ``min`` that combines before the shuffle
+    and joins it back, so a hub's edges are never gathered in one place; each round is written to the shared folder. Nodes
+    without an edge are absent. Self-edges are dropped.
     """
 
+    def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            names, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+            root = local_roots(len(names), place[: len(a)], place[len(a) :])
+            far = np.flatnonzero(root != np.arange(len(names)))
+            yield pa.RecordBatch.from_arrays([pa.array(names[far]), pa.array(names[root[far]])], names=["src", "dst"])
+
     def pairs(df: DataFrame) -> DataFrame:
         return df.where("src <> dst").select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct()
 
-    now = materialise(pairs(edges))
-    seen = None
+    now = materialise(in_arrow(edges.where("src <> dst").select("src", "dst"), stars, "src long, dst long").distinct())
     for _ in range(most_rounds):
+        # Done when every node points to one other, which itself points nowhere.
+        ends = now.select(F.col("src").alias("id"), F.lit(1).alias("out"), F.lit(0).alias("in")).unionByName(now.select(F.col("dst").alias("id"), F.lit(0).alias("out"), F.lit(1).alias("in")))
+        if not ends.groupBy("id").agg(F.sum("out").alias("out"), F.max("in").alias("in")).where("out > 1 or (out = 1 and in = 1)").limit(1).count():
+            break
         both = now.unionByName(now.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
         least = both.groupBy("src").agg(F.least(F.min("dst"), F.col("src")).alias("m"))
         large = both.join(least, "src").where("dst > src").select(F.col("dst").alias("src"), F.col("m").alias("dst"))
-        large = pairs(large)
+        large = materialise(pairs(large))
         # Small star: every node points down, so the group of a node is its smaller neighbours and itself.
         low = large.groupBy("src").agg(F.min("dst").alias("m"))
         moved = large.join(low, "src").select(F.col("dst").alias("src"), F.col("m").alias("dst"))
-        following = materialise(pairs(moved.unionByName(low.select("src", F.col("m").alias("dst")))))
-        state = following.agg(F.count("*"), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)"))).first()
-        now = following
-        if state == seen:
-            break
-        seen = state
+        now = materialise(pairs(moved.unionByName(low.select("src", F.col("m").alias("dst")))))
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     roots = now.select(F.col("dst").alias("id"), F.col("dst").alias("component_id")).distinct()

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meridion.llm.common import as_long, components, fixed_rows, grouped, materialise
+from meridion.llm.common import as_long, components, fixed_rows, grouped, in_arrow, local_roots, materialise
 from meridion.llm.vptree import usable
 
 #: Rows of a block of a bucket; a larger bucket is compared block against block.
@@ -52,19 +52,6 @@ def unit_codes(x: np.ndarray, tables: int, bits: int, seed: int) -> np.ndarray:
     return (signs.astype(np.uint64) << np.arange(bits, dtype=np.uint64)).sum(axis=2).astype(code_type(bits))
 
 
-def local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The smallest row reachable from each row over the links (a, b)."""
-    root = np.arange(n)
-    while True:
-        low = root.copy()
-        np.minimum.at(low, a, root[b])
-        np.minimum.at(low, b, root[a])
-        low = low[low]
-        if np.array_equal(low, root):
-            return root
-        root = low
-
-
 def near_duplicates(
     df: DataFrame, threshold: float = 0.93, miss: float = 1e-6, bucket_rows: int = 64, seed: int = 11,
     id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label",
@@ -116,7 +103,7 @@ def near_duplicates(
                     names=["rep", "copies", "label", "dim", "vec", "codes", "list"],
                 )
 
-    coded = materialise(chosen.mapInArrow(hashed, "rep long, copies long, label string, dim int, vec binary, codes binary, list array<bigint>"))
+    coded = materialise(in_arrow(chosen, hashed, "rep long, copies long, label string, dim int, vec binary, codes binary, list array<bigint>"))
     placed = coded.select("rep", "copies", "dim", "vec", "codes", F.posexplode("list").alias("t", "code"), "label").withColumn("bucket", F.xxhash64("label", "dim", "t", "code"))
     # Buckets above a block: each row stands in its block's line and column of block pairs. Only these buckets are listed.
     large = materialise(placed.groupBy("bucket").agg(F.count("*").alias("m")).where(F.col("m") > BLOCK))
@@ -159,7 +146,7 @@ def near_duplicates(
             hit = links > 0
             yield pa.RecordBatch.from_arrays([pa.array(rep[hit]), pa.array(links[hit]), pa.array(rep[root[hit]])], names=["rep", "links", "root"])
 
-    found = materialise(cells.mapInArrow(compared, "rep long, links long, root long"))
+    found = materialise(in_arrow(cells, compared, "rep long, links long, root long"))
     linked = found.groupBy("rep").agg(F.sum("links").alias("links"))
     joined = components(found.select(F.col("rep").alias("src"), F.col("root").alias("dst")))
     per_class = reps.join(linked, "rep", "left").join(joined.withColumnRenamed("id", "rep"), "rep", "left").select(

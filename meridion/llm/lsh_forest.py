@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +29,10 @@ SHORTEST = 2
 #: How many rows before it in an order a row meets.
 NEAR = 4
 
+#: The common prefixes of a candidate pair in all orders together. Pairs at 0.8 have about 50 and seldom under 15 even where
+#: none is longer than three; texts that share a passage only have fewer than three on average.
+TOGETHER = 6
+
 #: Rows of an order in one task.
 STRETCH = 200_000
 
@@ -140,7 +145,7 @@ def walked(rows: DataFrame, borders: bool) -> DataFrame:
             if held and named:
                 mark[held - 1] = False
             if borders and not held:
-                mark[0] = True
+                mark[0] = True  # its region may go on in the stretch before
             if mark.any():
                 yield members(t, minima, ids, np.flatnonzero(mark))
             named = bool(mark[-1])
@@ -167,7 +172,7 @@ def forest(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     # Rows of different borders that happen to be neighbours are pairs of one order all the same.
     across = walked(edges.select("t", "key", "id"), borders=False).where(f"kind = {PAIR}")
     pairs = found.where(f"kind = {PAIR}").unionByName(across).groupBy(F.col("x").alias("a"), F.col("y").alias("b")).agg(F.sum("z").alias("depth"))
-    return pairs, found.where(f"kind = {MEMBER}").select(F.col("x").alias("region"), F.col("y").alias("id")).distinct()
+    return pairs, found.where(f"kind = {MEMBER}").select(F.col("x").alias("region"), F.col("y").alias("id"))
 
 
 def listed(df: DataFrame) -> DataFrame:
@@ -184,36 +189,46 @@ def alike(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return out
 
 
-def candidates(cell: pa.Table, least: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places of an odd row and any row of a cell that may be a link between components.
-
-    They are of different components, share ``least`` minima, and their sets can reach the similarity: no more of a set can be
-    shared than what isn't its document's own.
-    """
+def candidates(cell: pa.Table, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of an odd row and any row of a cell that may be a link between components, and how many minima they share."""
     odd = cell.column("odd").to_numpy(zero_copy_only=False)
-    comp, size, own = (cell.column(c).to_numpy() for c in ("comp", "size", "own"))
+    comp = cell.column("comp").to_numpy()
     sig = fixed_rows(cell.column("sig"), "<u4")
-    x, free = np.flatnonzero(odd), size - own
-    may = np.minimum(free[x][:, None], free[None, :])
-    fits = 100 * may >= percent * (size[x][:, None] + size[None, :] - may)
-    i, j = np.nonzero((alike(sig[x], sig) >= least) & (comp[x][:, None] != comp[None, :]) & fits)
-    return x[i], j
+    x = np.flatnonzero(odd)
+    same = alike(sig[x], sig)
+    i, j = np.nonzero((same >= least) & (comp[x][:, None] != comp[None, :]))
+    return x[i], j, same[i, j]
 
 
-def strangers(cells: DataFrame, least: int, percent: int) -> DataFrame:
+def best_strangers(cells: DataFrame, least: int) -> DataFrame:
+    """``(a, b, same)``: each odd row of a cell with the row of another component that shares most minima with it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cell in grouped(batches, ["region", "c", "d"]):
+            ids = cell.column("id").to_numpy()
+            i, j, same = candidates(cell, least)
+            order = np.lexsort((ids[j], -same, i))
+            i, j, same = i[order], j[order], same[order]
+            first = np.diff(i, prepend=-1) != 0
+            yield pa.RecordBatch.from_arrays([pa.array(ids[i[first]]), pa.array(ids[j[first]]), pa.array(same[first].astype(np.int32))], names=["a", "b", "same"])
+
+    return in_arrow(cells, run, "a long, b long, same int")
+
+
+def strangers(cells: DataFrame, least: int) -> DataFrame:
     """``(a, b)``: the candidates of each region."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for cell in grouped(batches, ["region"]):
+        for cell in grouped(batches, ["region", "c", "d"]):
             ids = cell.column("id").to_numpy()
-            i, j = candidates(cell, least, percent)
+            i, j, _ = candidates(cell, least)
             p, q = ids[i], ids[j]
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], names=["a", "b"])
 
     return in_arrow(cells, run, "a long, b long").distinct()
 
 
-def surviving(cells: DataFrame, least: int, percent: int) -> DataFrame:
+def surviving(cells: DataFrame, least: int) -> DataFrame:
     """The rows ``(region, c, d, id, comp, odd)`` of each cell that are in some candidate pair of odd and other rows."""
     names = ["region", "c", "d", "id", "comp", "odd"]
 
@@ -222,7 +237,7 @@ def surviving(cells: DataFrame, least: int, percent: int) -> DataFrame:
             odd = cell.column("odd").to_numpy(zero_copy_only=False)
             if odd.all() or not odd.any():
                 continue
-            i, j = candidates(cell, least, percent)
+            i, j, _ = candidates(cell, least)
             fine = ~odd[j]
             hit = np.zeros(cell.num_rows, dtype=bool)
             hit[i[fine]] = hit[j[fine]] = True
@@ -314,24 +329,6 @@ def sets_of(wanted_ids: DataFrame, repeated: bool, df: DataFrame, words: int, id
     return materialise(sets.select("id", "set"))
 
 
-def lonely(sets: DataFrame) -> DataFrame:
-    """``(id, size, own)``: how many shingles a document has, and how many of them no other of these documents has."""
-
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                sets_ = [np.frombuffer(v, "<i8") for v in part.column(1).to_pylist()]
-                sizes = [len(x) for x in sets_]
-                ids = np.repeat(part.column(0).to_numpy(), sizes)
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate(sets_ or [np.zeros(0, "<i8")]))], names=["id", "shingle"])
-
-    single = in_arrow(sets, spread, "id long, shingle long").groupBy("shingle").agg(F.min("id").alias("id"), F.max("id").alias("other")).where("id = other")
-    own = single.groupBy("id").agg(F.count("*").alias("own"))
-    sizes = sets.groupBy("id").agg(F.max(F.octet_length("set") / 8).cast("long").alias("size"))
-    return sizes.join(own, "id", "left").select("id", "size", F.coalesce("own", F.lit(0)).alias("own"))
-
-
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs ``(a, b)`` whose whole shingle sets reach the similarity.
 
@@ -366,14 +363,11 @@ def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, seed: int
     3. First round: each class and the neighbour with the longest common prefixes in all orders together; such pairs are
        confirmed on whole sets.
     4. Second round, for regions (classes that agree in the first four minima of an order) that still hold several components:
-       how many shingles of a class are its own, in none of these classes, bounds its similarity to any of them; classes that
-       can't reach it are done. The others meet the class of the region's largest component that has the least of its own.
-    5. Third round, for what is still apart: every class outside a region's largest component against all of the region. In
-       small regions the pairs that bound and signatures allow are confirmed; in large ones blocks of signatures say which
-       classes may be linked at all, and the sets of those are compared block against block. So what the first rounds left
-       out is made good, without pairs inside a component.
-    6. Components of the confirmed links.
-
+       each class outside the largest of them and the class of another component that shares most minima with it.
+    5. Third round, for what is still apart: every class outside a region's largest component against all of the region that
+       shares enough minima. In small regions such pairs are confirmed; in large ones the sets of the classes that are in such
+       pairs are compared block against block. So what the first rounds left out is made good, without pairs inside a
+       component.
     A pair at the similarity is missed only where it is no candidate, shares no region in any order (about 2 in 10,000 at
     0.8, none at 1) or shares fewer than 36 of 64 minima (about 3 in a million), and then found only through other documents
     that link the two.
@@ -391,50 +385,56 @@ def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, seed: int
     sigs = classes.select("id", "sig").groupBy("id").agg(F.min("sig").alias("sig")) if repeated else classes.select("id", "sig")
 
     pairs, member = forest(classes)
-    member = materialise(member)
+    pairs = pairs.where(F.col("depth") >= TOGETHER)
     first = materialise(pairs.groupBy("b").agg(F.max_by("a", F.struct("depth", -F.col("a"))).alias("a")).select("a", "b"))
     sizes = member.groupBy("region").agg(F.count("*").alias("m")).where("m > 1")
     multi = materialise(member.join(sizes.select("region"), "region", "left_semi"))
-    ends = first.select(F.col("a").alias("id")).unionByName(first.select(F.col("b").alias("id"))).unionByName(multi.select("id"))
-    sets = sets_of(materialise(ends.distinct()), repeated, df, words, id_col, text_col)
-    links = materialise(confirmed(first, sets, percent))
+
+    def ends(*pairs: DataFrame) -> DataFrame:
+        return reduce(DataFrame.unionByName, [p.select(F.col(c).alias("id")) for p in pairs for c in "ab"]).distinct()
+
+    def with_sets(sets: DataFrame | None, wanted: DataFrame) -> DataFrame:
+        """``sets`` and those of the wanted documents that it lacks."""
+        more = materialise(wanted if sets is None else wanted.join(sets.select("id"), "id", "left_anti"))
+        return sets_of(more, repeated, df, words, id_col, text_col) if sets is None else sets.unionByName(sets_of(more, repeated, df, words, id_col, text_col))
 
     def opened(parts: DataFrame) -> DataFrame:
-        """Members of the regions that hold several components, with the largest of them as ``main``."""
+        """Members of the regions that hold several components, their sizes, and which are outside the largest component."""
         of = materialise(multi.join(parts, "id", "left").select("region", "id", F.coalesce("component_id", "id").alias("comp")))
         main = of.groupBy("region", "comp").agg(F.count("*").alias("k")).groupBy("region").agg(
             F.max_by("comp", F.struct("k", -F.col("comp"))).alias("main"), F.sum("k").alias("m"), F.max("k").alias("most")
         )
-        return materialise(of.join(listed(main.where("m > most").select("region", "main")), "region"))
-
-    open_ = opened(components(links))
-    # A document of which more than the rest to the similarity is its own links with nothing here.
-    inside = sets.join(open_.select("id").distinct(), "id", "left_semi")
-    known = materialise(lonely(inside).where(100 * F.col("own") <= (100 - percent) * F.col("size")))
-    able = materialise(open_.join(known, "id"))
-    hub = able.where("comp = main").groupBy("region").agg(F.min_by("id", F.struct(F.col("own") / F.col("size"), "id")).alias("hub"))
-    to_hub = able.where("comp <> main").join(listed(hub), "region").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
-    second = materialise(to_hub.join(first, ["a", "b"], "left_anti"))
+        kept = listed(main.where("m > most").select("region", "main", "m", (F.col("m") - F.col("most")).alias("s")))
+        return materialise(of.join(kept, "region").join(sigs, "id").withColumn("odd", F.col("comp") != F.col("main")))
+
+    def blocks(rows: DataFrame) -> DataFrame:
+        """Cells of a region: all of it, or every block of strangers with every block of the region's rows."""
+        cs, ds = F.ceil(F.col("m") / (8 * REGION)).cast("int"), F.ceil(F.col("s") / (8 * REGION)).cast("int")
+        cs, ds = (F.when(F.col("m") <= 4 * REGION, 1).otherwise(n) for n in (cs, ds))
+        c, d = F.pmod(F.xxhash64("id", F.lit(6)), cs).cast("int"), F.pmod(F.xxhash64("id", F.lit(8)), ds).cast("int")
+        rest = ["id", "comp", "sig", "m"]
+        every = rows.select("region", c.alias("c"), F.explode(F.sequence(F.lit(0), ds - 1)).alias("d"), *rest, F.lit(False).alias("odd"))
+        strange = rows.where("odd").select("region", F.explode(F.sequence(F.lit(0), cs - 1)).alias("c"), d.alias("d"), *rest, F.lit(True).alias("odd"))
+        return every.unionByName(strange).repartition("region", "c", "d").sortWithinPartitions("region", "c", "d")
+
+    sets = with_sets(None, ends(first))
+    links = materialise(confirmed(first, sets, percent))
+    best = best_strangers(blocks(opened(components(links))), least)
+    best = best.groupBy("a").agg(F.max_by("b", F.struct("same", -F.col("b"))).alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    second = materialise(best.join(first, ["a", "b"], "left_anti"))
+    sets = with_sets(sets, ends(second))
     links = materialise(links.unionByName(confirmed(second, sets, percent)))
 
-    able = materialise(opened(components(links)).join(known, "id"))
-    counts = able.groupBy("region").agg(F.count("*").alias("m"), F.count(F.when(F.col("comp") != F.col("main"), 1)).alias("s")).where("s > 0")
-    rows = materialise(able.join(listed(counts), "region").join(sigs, "id"))
-    odd = F.col("comp") != F.col("main")
-    # Small regions: one cell each, which gives pairs to confirm.
-    few = rows.where(F.col("m") <= 4 * REGION).select("region", "id", "comp", "size", "own", "sig", odd.alias("odd"))
-    third = materialise(strangers(few.repartition("region").sortWithinPartitions("region"), least, percent).join(first.unionByName(second), ["a", "b"], "left_anti"))
-    # Large ones: every block of strangers against every block, by signatures first; whole sets of what is left, and only
-    # links come out.
-    many = rows.where(F.col("m") > 4 * REGION)
-    cs, ds = F.ceil(F.col("m") / (8 * REGION)).cast("int"), F.ceil(F.col("s") / (8 * REGION)).cast("int")
-    c, d = F.pmod(F.xxhash64("id", F.lit(6)), cs).cast("int"), F.pmod(F.xxhash64("id", F.lit(8)), ds).cast("int")
-    rest = ["id", "comp", "size", "own", "sig"]
-    every = many.select("region", c.alias("c"), F.explode(F.sequence(F.lit(0), ds - 1)).alias("d"), *rest, F.lit(False).alias("odd"))
-    strange = many.where(odd).select("region", F.explode(F.sequence(F.lit(0), cs - 1)).alias("c"), d.alias("d"), *rest, F.lit(True).alias("odd"))
-    cells = every.unionByName(strange).repartition("region", "c", "d").sortWithinPartitions("region", "c", "d")
-    left = surviving(cells, least, percent).join(sets, "id").repartition("region", "c", "d").sortWithinPartitions("region", "c", "d")
-    final = components(links.unionByName(confirmed(third, sets, percent)).unionByName(crossed(left, percent)))
+    rows = opened(components(links))
+    # Small regions give pairs to confirm. Of large ones, blocks of signatures say whose whole sets are needed; those are
+    # compared block against block, and only links come out.
+    third = strangers(blocks(rows.where(F.col("m") <= 4 * REGION)), least)
+    third = materialise(third.join(first.unionByName(second), ["a", "b"], "left_anti"))
+    left = materialise(surviving(blocks(rows.where(F.col("m") > 4 * REGION)), least))
+    sets = with_sets(sets, ends(third).unionByName(left.select("id")).distinct())
+    left = left.join(sets, "id").repartition("region", "c", "d").sortWithinPartitions("region", "c", "d")
+    more = materialise(confirmed(third, sets, percent).unionByName(crossed(left, percent)))
+    final = components(links.unionByName(more))
 
     labelled = classes.select("h1", "h2", "n", "id").join(final, "id", "left").select("h1", "h2", "n", F.coalesce("component_id", "id").alias("component_id"))
     out = sketched.select("id", "n", "h1", "h2").join(labelled, ["h1", "h2", "n"], "left")
