@@ -135,6 +135,24 @@ def fixed_rows(column: pa.ChunkedArray | pa.Array, dtype: str) -> np.ndarray:
     return np.frombuffer(b"".join(values), dtype=dtype).reshape(len(values), -1)
 
 
+#: Links that a task contracts at least, where there are as many.
+LINKS = 20_000
+
+
+def gathered_rows(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
+    """Batches put together to tables of about ``rows`` rows."""
+    held: list[pa.RecordBatch] = []
+    count = 0
+    for batch in batches:
+        held.append(batch)
+        count += batch.num_rows
+        if count >= rows:
+            yield pa.Table.from_batches(held)
+            held, count = [], 0
+    if count:
+        yield pa.Table.from_batches(held)
+
+
 def local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The smallest number reachable from each of 0 to n - 1 over the links (a, b)."""
     root = np.arange(n)
@@ -151,7 +169,7 @@ def local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """Connected components of ``edges(src long, dst long)`` as ``(id, component_id)``, the component's smallest id.
 
-    Every task first replaces the links it holds, some hundred thousand at a time, by stars to the smallest node of each of
+    Every task first replaces the links it holds, at most half a million at a time, by stars to the smallest node of each of
     its own components. Then large-star and small-star steps alternate (Kiveris et al., "Connected components in MapReduce
     and beyond", 2014) until only stars are left. Every step groups by node with a ``min`` that combines before the shuffle
     and joins it back, so a hub's edges are never gathered in one place; each round is written to the shared folder. Nodes
@@ -159,8 +177,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """
 
     def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        for part in gathered_rows(batches, 25 * LINKS):
+            a, b = part.column(0).to_numpy(), part.column(1).to_numpy()
             names, place = np.unique(np.concatenate([a, b]), return_inverse=True)
             root = local_roots(len(names), place[: len(a)], place[len(a) :])
             far = np.flatnonzero(root != np.arange(len(names)))
@@ -169,7 +187,9 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     def pairs(df: DataFrame) -> DataFrame:
         return df.where("src <> dst").select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct()
 
-    now = materialise(in_arrow(edges.where("src <> dst").select("src", "dst"), stars, "src long, dst long").distinct())
+    edges = edges.where("src <> dst").select("src", "dst")
+    tasks = max(1, -(-edges.count() // LINKS))
+    now = materialise(in_arrow(edges.coalesce(tasks), stars, "src long, dst long").distinct())
     for _ in range(most_rounds):
         # Done when every node points to one other, which itself points nowhere.
         ends = now.select(F.col("src").alias("id"), F.lit(1).alias("out"), F.lit(0).alias("in")).unionByName(now.select(F.col("dst").alias("id"), F.lit(0).alias("out"), F.lit(1).alias("in")))
