@@ -64,10 +64,11 @@ def count_batch(texts: pa.Array, path: str) -> tuple[np.ndarray, list[bytes]]:
     return tokens, out
 
 
-def longest_within(deltas: bytes, budget: int) -> int:
-    """Bytes of the longest prefix of at most ``budget`` tokens, from the stored changes of the prefix count."""
+def longest_within(deltas: bytes, budget: int, text: bytes) -> int:
+    """Bytes of the longest prefix of at most ``budget`` tokens that ends between characters, from the stored changes."""
     counts = np.cumsum(np.frombuffer(deltas, dtype="i1"), dtype=np.int64)
-    fits = np.flatnonzero(counts <= budget)
+    inside = (np.frombuffer(text, dtype=np.uint8) & 0xC0) == 0x80  # bytes that go on with a character
+    fits = np.flatnonzero((counts <= budget) & ~np.append(inside[1:], False))
     return int(fits[-1]) + 1 if len(fits) else 0
 
 
@@ -82,10 +83,10 @@ def count_tokens(df: DataFrame, tokenizer: str, limit: int = 1024, id_col: str =
     ``tokenizer`` is the path of a byte-level ``tokenizers`` file, the same on every executor. ``prefix_deltas`` holds a
     signed byte for each byte of the text: the change of the token count when the prefix grows by it, so the count at any
     prefix is a sum and ``longest_within`` answers any budget without encoding again. Counts are exact at every prefix
-    that ends between characters. ``fit_bytes`` is the longest prefix within ``limit`` tokens (the count is not monotone:
-    a longer prefix may take fewer tokens); it may end inside a character.
+    that ends between characters. ``fit_bytes`` is the longest such prefix within ``limit`` tokens (the count is not
+    monotone: a longer prefix may take fewer tokens).
 
-    A null or empty text has 0 bytes and 0 tokens. Repeated rows and null ids are kept as they come, a row for each row.
+    A null or empty text has 0 bytes and 0 tokens. Very long texts are counted whole; texts are taken some megabytes at a time. Repeated rows and null ids are kept as they come, a row for each row.
     Other columns are not read. An empty table gives an empty result.
     """
 
@@ -97,7 +98,7 @@ def count_tokens(df: DataFrame, tokenizer: str, limit: int = 1024, id_col: str =
                 over = tokens > limit
                 fit = sizes.copy()
                 for k in np.flatnonzero(over):
-                    fit[k] = longest_within(deltas[k], limit)
+                    fit[k] = longest_within(deltas[k], limit, part.column(1)[k].as_py().encode())
                 columns = [part.column(0), pa.array(sizes), pa.array(tokens), pa.array(over), pa.array(fit)]
                 if store:
                     columns.append(pa.array(deltas, type=pa.binary()))

@@ -189,6 +189,21 @@ def test_shards_of_a_group_that_is_a_third(spark):
     assert max(sums) < 1.1 * np.mean(sums) and min(sums) > 0.9 * np.mean(sums)
 
 
+def test_shards_of_repeated_rows(spark):
+    # Half the table is copies of one row, which only a running number tells apart.
+    rows = documents(1500, 9) + [(7000, "one row " * 20, "en", "s", "x", "y")] * 1500
+    df = spark.createDataFrame(rows, DOCS)
+    got = shard(df, shards=8).collect()
+    sums = check_shards(rows, got, 8)
+    assert max(sums) < 1.03 * np.mean(sums) and min(sums) > 0.97 * np.mean(sums)
+    two = [(1, "a" * 45, None, None, None, None)] * 500 + [(2, "b" * 45, None, None, None, None)] * 500
+    sums = check_shards(two, shard(spark.createDataFrame(two, DOCS), shards=24).collect(), 24)
+    assert max(sums) - min(sums) <= 3 * 53
+    # Small windows: groups are counted in buckets and ranges are cut by the hash of the key.
+    many = check_shards(rows, shard(df, shards=8, ranges=4, rows_per_range=100).collect(), 8)
+    assert max(many) < 1.05 * np.mean(many) and min(many) > 0.95 * np.mean(many)
+
+
 def test_shards_of_odd_tables(spark):
     df = spark.createDataFrame(ODD + ODD, DOCS)
     check_shards(ODD + ODD, shard(df, shards=4).collect(), 4)

@@ -45,11 +45,21 @@ def test_budget():
     x = "the quick brown fox jumps over the lazy dog " * 30
     _, (deltas,) = count_batch(pa.array([x]), BYTES)
     for budget in (0, 1, 7, 100):
-        n = longest_within(deltas, budget)
+        n = longest_within(deltas, budget, x.encode())
         assert len(t.encode(x[:n], add_special_tokens=False).ids) <= budget
         assert all(len(t.encode(x[:m], add_special_tokens=False).ids) > budget for m in range(n + 1, min(n + 5, len(x)) + 1))
 
 
+def test_budget_ends_between_characters():
+    t = Tokenizer.from_file(BYTES)
+    for x in ("naïve \U0001f600\U0001f44d\U0001f3fd", "日本語のテキスト" * 3, "\U0001f600" * 5):
+        _, (deltas,) = count_batch(pa.array([x]), BYTES)
+        for budget in range(12):
+            n = longest_within(deltas, budget, x.encode())
+            fits = [k for k in range(len(x) + 1) if len(t.encode(x[:k], add_special_tokens=False).ids) <= budget]
+            assert x.encode()[:n].decode() == x[: max(fits)]
+
+
 def test_word_ids_equal_the_library():
     t, w = Tokenizer.from_file(WORDS), word_ids(WORDS)
     all_texts = ODD + texts(1500, 3) + ["aaaa aaaaa aaaaaaa", "ab" * 100]
