@@ -274,3 +274,19 @@ def test_long_text_is_tagged_like_its_parts(spark):
     got = toxicity.tag(spark.createDataFrame([(1, text), (2, filler)], "doc_id long, text string"), model).orderBy("doc_id").collect()
     assert [x["predicted"] for x in got] == [1, 0]
     assert [text[s["start"] : s["end"]] for s in got[0]["spans"]] == ["vileword", "vileword"] and got[1]["spans"] == []
+
+
+def test_verdicts_that_the_tree_alone_gives(spark):
+    blocked = [f"http://bad.net/{'es' if k % 2 else 'fr'}/{k}" for k in range(40)] + [f"http://few.net/es/{k}" for k in range(2)]
+    allowed = [f"http://fine.com/en/{k}" for k in range(30)]
+    open_ = [f"http://bad.net/en/{k}" for k in range(5)] + ["http://few.net/en/1", "http://new.org/en/1", "http://bad.net", "nothing"]
+    df = spark.createDataFrame(list(enumerate(blocked + allowed + open_)), "page_id long, url string")
+    got = {x["page_id"]: x for x in judge_urls(df).collect()}
+    p = 42 / 72
+    first = len(blocked + allowed)
+    want = [("block", (40 + 8 * p) / 48, "")] * 5 + [("allow", (2 + 8 * p) / 10, ""), ("allow", p, None), ("block", (40 + 8 * p) / 48, ""), ("allow", p, None)]
+    for k, (verdict, purity, node) in enumerate(want):
+        x = got[first + k]
+        assert (x["rule"], x["verdict"], x["decided_by"]) == (None, verdict, node), x
+        assert abs(x["purity"] - purity) < 1e-12, x
+    assert {got[k]["verdict"] for k in range(len(blocked))} == {"block"} and {got[k]["verdict"] for k in range(len(blocked), first)} == {"allow"}
