@@ -81,3 +81,52 @@ def single_registrations(registration: DataFrame) -> DataFrame:
     info = registration.select("id", "operations", F.explode_outer("information").alias("i"))
     rows = info.select("id", "operations", F.col("i.names").alias("names"), F.explode_outer("i.entities").alias("e"))
     return rows.select("id", "operations", "names", F.col("e.id").alias("entity_id"), F.col("e.pattern").alias("pattern"), F.col("e.types").alias("types"))
+
+
+#: Fixed value: the operations that a group of them stands for.
+OPERATION_GROUPS = {
+    "retrieveOps": ("retrieveEntity", "queryEntity"), "updateOps": ("updateEntity", "updateAttrs", "replaceEntity", "replaceAttrs"),
+    "redirectionOps": ("createEntity", "updateEntity", "appendAttrs", "updateAttrs", "deleteAttrs", "deleteEntity", "mergeEntity", "replaceEntity", "replaceAttrs", "retrieveEntity", "queryEntity"),
+}
+
+
+def with_operations(registration: DataFrame) -> DataFrame:
+    """Registrations with their operation groups written out."""
+    table = F.create_map(*[x for k, v in OPERATION_GROUPS.items() for x in (F.lit(k), F.array(*[F.lit(o) for o in v]))])
+    wide = F.flatten(F.transform("operations", lambda o: F.coalesce(F.try_element_at(table, o), F.array(o))))
+    return registration.withColumn("operations", F.array_distinct(wide))
+
+
+def narrowed(single: DataFrame, ids: list[str] | None, types: list[str] | None, names: list[str] | None) -> DataFrame:
+    """What to ask each source for: the request's ids, types and names cut down to those that its registration states.
+
+    ``single`` has the rows of ``single_registrations``; a part that isn't stated passes the request's on.
+    """
+    both = lambda mine, asked: mine if asked is None else F.when(mine.isNull(), F.array(*[F.lit(x) for x in asked])).otherwise(F.array_intersect(mine, F.array(*[F.lit(x) for x in asked])))
+    wanted = None if ids is None else F.array(*[F.lit(i) for i in ids])
+    chosen = F.when(F.col("entity_id").isNotNull(), F.array("entity_id"))
+    if wanted is not None:
+        by_pattern = F.filter(wanted, lambda i: F.regexp_like(i, F.col("pattern")))
+        chosen = F.when(F.col("entity_id").isNotNull(), F.array_intersect(F.array("entity_id"), wanted)).when(F.col("pattern").isNotNull(), by_pattern).otherwise(wanted)
+    out = single.select("id", chosen.alias("ids"), both(F.col("types"), types).alias("types"), both(F.col("names"), names).alias("names"))
+    return out.where("(ids is null or size(ids) > 0) and (types is null or size(types) > 0) and (names is null or size(names) > 0)")
+
+
+def distributed_results(wanted: DataFrame, holders: DataFrame) -> DataFrame:
+    """``(entity_id, source, status)`` of a deletion at every source that holds the entity; notFound where none does."""
+    return wanted.join(holders.select("entity_id", "source").distinct(), "entity_id", "left").select("entity_id", F.coalesce("source", F.lit("local")).alias("source"), F.when(F.col("source").isNull(), "notFound").otherwise("deleted").alias("status"))
+
+
+def in_source_order(entities: DataFrame) -> DataFrame:
+    """The row of each entity from the source that comes first, auxiliary ones last."""
+    order = W.partitionBy("entity_id").orderBy("auxiliary", "source_order")
+    return entities.withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n")
+
+
+def merged_with_remote(local: DataFrame, remote: DataFrame, columns: list[str]) -> DataFrame:
+    """Entities that either side has; the local side's members come first."""
+    theirs = remote.select("entity_id", *[F.col(c).alias(f"__{c}") for c in columns], F.lit(True).alias("__remote"))
+    both = local.withColumn("__local", F.lit(True)).join(theirs, "entity_id", "full")
+    source = F.when(F.col("__local").isNull(), "remote").when(F.col("__remote").isNull(), "local").otherwise("both")
+    return both.select("entity_id", *[F.coalesce(c, f"__{c}").alias(c) for c in columns], source.alias("held_by"))
+

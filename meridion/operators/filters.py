@@ -100,3 +100,8 @@ def missing(wanted: DataFrame, entity: DataFrame) -> DataFrame:
 def expired(rows: DataFrame, now: str) -> DataFrame:
     """Live rows whose time to live has passed."""
     return rows.where(live() & (F.col("expires_at") < F.lit(now).cast("timestamp")))
+
+
+def valid_name(name: Column) -> Column:
+    """A name of an attribute or type without the characters that names can't have."""
+    return F.coalesce((F.length(name) > 0) & ~name.rlike(r"[\s<>\"'=;()\[\]{},|]"), F.lit(False))

@@ -161,3 +161,79 @@ def created(batch: DataFrame, entity: DataFrame) -> DataFrame:
     known = entity.select("entity_id", F.lit(True).alias("__known"), F.col("deleted_at").isNotNull().alias("__gone"))
     status = F.when(F.col("__known").isNull(), "created").when(F.col("__gone"), "revived").otherwise("exists")
     return batch.join(known, "entity_id", "left").select("entity_id", status.alias("status"))
+
+
+def matches_key(keys: tuple[str, ...]) -> Column:
+    """Null-safe equality of each key with its copy ``__key``."""
+    test = F.lit(True)
+    for k in keys:
+        test = test & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    return test
+
+
+def updated(current: DataFrame, change: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Update of attributes: ``(rows, results)``. Only attributes that live are changed; a null value deletes.
+
+    ``change(entity_id, attribute_name, dataset_id, num, str)``; results are ``(key, status)``: updated, deleted or
+    notFound. A row with neither number nor text, or with the null value, deletes.
+    """
+    new = change.select(*[F.col(k).alias(f"__{k}") for k in KEY], F.col("num").alias("__num"), F.col("str").alias("__str"), F.lit(True).alias("__hit"))
+    test = matches_key(KEY)
+    gone = F.col("__hit") & ((F.col("__num").isNull() & F.col("__str").isNull()) | F.coalesce(F.col("__str") == NULL, F.lit(False)))
+    both = current.join(new, test & F.col("deleted_at").isNull(), "left").where(~F.coalesce(gone, F.lit(False)))
+    rows = both.withColumn("num", F.when(F.col("__hit"), F.col("__num")).otherwise(F.col("num"))).withColumn("str", F.when(F.col("__hit"), F.col("__str")).otherwise(F.col("str")))
+    old = current.where("deleted_at is null").select(*[F.col(k).alias(f"__{k}") for k in KEY], F.lit(True).alias("__old"))
+    deletes = (F.col("num").isNull() & F.col("str").isNull()) | F.coalesce(F.col("str") == NULL, F.lit(False))
+    status = F.when(F.col("__old").isNull(), "notFound").when(deletes, "deleted").otherwise("updated")
+    return rows.select(*current.columns), change.join(old, test, "left").select(*KEY, status.alias("status"))
+
+
+def replaced_attribute(current: DataFrame, change: DataFrame) -> DataFrame:
+    """Attributes that live and are named by ``change`` with all columns of the change but the time of creation."""
+    new = change.select(*[F.col(k).alias(f"__{k}") for k in KEY], F.struct(*[c for c in current.columns if c not in (*KEY, "created_at")]).alias("__new"))
+    both = current.join(new, matches_key(KEY) & F.col("deleted_at").isNull(), "left")
+    value = lambda c: c if c in (*KEY, "created_at") else F.when(F.col("__new").isNotNull(), F.col(f"__new.{c}")).otherwise(F.col(c)).alias(c)
+    return both.select(*[value(c) for c in current.columns])
+
+
+def batch_results(batch: DataFrame, entity: DataFrame, operation: str) -> DataFrame:
+    """``(entity_id, seq, success, reason)`` of a batch: create fails on what is there, update and delete on what isn't.
+
+    Of an id that stands several times the first counts for a creation.
+    """
+    known = entity.where("deleted_at is null").select("entity_id", F.lit(True).alias("__known"))
+    turn = F.row_number().over(W.partitionBy("entity_id").orderBy("seq"))
+    rows = batch.withColumn("__n", turn).join(known, "entity_id", "left")
+    there = F.col("__known").isNotNull()
+    if operation == "create":
+        reason = F.when(there, "already exists").when(F.col("__n") > 1, "duplicate in batch")
+    elif operation in ("update", "merge", "replace", "delete"):
+        reason = F.when(~there, "not found")
+    else:
+        reason = F.lit(None).cast("string")  # an upsert always succeeds
+    return rows.select("entity_id", "seq", reason.isNull().alias("success"), reason.alias("reason"))
+
+
+def with_telemetry(current: DataFrame, points: DataFrame) -> DataFrame:
+    """Attribute rows with the newest point of their series as value; attributes without one stay.
+
+    ``points(entity_id, attribute_name, time, measured_value, instance_id)``: one grouping that combines before the shuffle.
+    """
+    newest = points.groupBy("entity_id", "attribute_name").agg(F.max_by("measured_value", F.struct("time", "instance_id")).alias("__v"))
+    out = current.join(newest, ["entity_id", "attribute_name"], "left")
+    return out.withColumn("num", F.when(F.col("dataset_id").isNull(), F.coalesce("__v", "num")).otherwise(F.col("num"))).select(*current.columns)
+
+
+def is_null_value(column: Column) -> Column:
+    """The standard's null, as a text or as the only value of a language map."""
+    return F.coalesce((column == NULL) | (F.get_json_object(column, "$.languageMap['@none']") == NULL), F.lit(False))
+
+
+def applied_identities(subject: DataFrame, event: DataFrame) -> DataFrame:
+    """``subject(subject_id, subject_type, roles)`` after events ``(subject_id, time, operation, subject_type, roles)``.
+
+    The last event of a subject counts: CREATE and UPDATE set it, DELETE takes it away.
+    """
+    last = event.groupBy("subject_id").agg(F.max_by(F.struct("operation", "subject_type", "roles"), F.struct("time", "operation")).alias("e"))
+    both = subject.join(last, "subject_id", "full").where("e is null or e.operation <> 'DELETE'")
+    return both.select("subject_id", F.coalesce("e.subject_type", "subject_type").alias("subject_type"), F.coalesce("e.roles", "roles").alias("roles"))

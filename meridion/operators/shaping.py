@@ -46,15 +46,30 @@ def _plain(i: Column) -> Column:
     return F.coalesce(i["num"].cast("string"), i["str"])
 
 
+def _languages(instances: Column) -> Column:
+    """A map from each language of the instances to its first value."""
+    lang = lambda i: F.coalesce(i["lang"], F.lit("@none"))
+    names = F.array_distinct(F.transform(instances, lang))
+    return F.map_from_arrays(names, F.transform(names, lambda n: _plain(F.get(F.filter(instances, lambda i: lang(i) == n), F.lit(0)))))
+
+
 def simplified(document: DataFrame) -> DataFrame:
-    """Key-values: one instance is its value; a multilingual attribute a map of languages; several datasets a map of them."""
+    """Key-values: one instance is its value; a multilingual attribute a map of languages; several datasets a map of them.
+
+    Datasets come first, languages within each; of several values of one dataset and language the first in order counts.
+    """
 
     def unwrap(_: Column, instances: Column) -> Column:
         first = F.get(instances, F.lit(0))
-        by_lang = F.map_from_entries(F.transform(instances, lambda i: F.struct(F.coalesce(i["lang"], F.lit("@none")), _plain(i))))
-        by_dataset = F.map_from_entries(F.transform(instances, lambda i: F.struct(F.coalesce(i["dataset_id"], F.lit("@none")), _plain(i))))
+        dataset = lambda i: F.coalesce(i["dataset_id"], F.lit("@none"))
+        names = F.array_distinct(F.transform(instances, dataset))
+        of = lambda name: F.filter(instances, lambda i: dataset(i) == name)
+        by_dataset = F.map_from_arrays(names, F.transform(names, lambda n: _plain(F.get(of(n), F.lit(0)))))
+        lang_by_dataset = F.map_from_arrays(names, F.transform(names, lambda n: F.create_map(F.lit("languageMap"), _languages(of(n)))))
+        language = first["attribute_type"] == "LanguageProperty"
         return (
-            F.when(first["attribute_type"] == "LanguageProperty", F.to_json(F.create_map(F.lit("languageMap"), by_lang)))
+            F.when(language & (F.size(names) == 1), F.to_json(F.create_map(F.lit("languageMap"), _languages(instances))))
+            .when(language, F.to_json(F.create_map(F.lit("dataset"), lang_by_dataset)))
             .when(F.size(instances) > 1, F.to_json(F.create_map(F.lit("dataset"), by_dataset)))
             .otherwise(_plain(first))
         )
@@ -125,7 +140,7 @@ def links(total: int, limit: int, offset: int) -> dict[str, int]:
 def linked(edges: DataFrame, roots: DataFrame, levels: int) -> DataFrame:
     """``(root, level, via, entity_id)``: what is reached from each root along relationships, up to ``levels`` steps.
 
-    One equi-join for each level; a cycle ends with the levels. Levels are few and fixed in the plan.
+    One equi-join for each level. ``linked_once`` visits each node of a root once. Levels are few and fixed in the plan.
     """
     at = roots.select(F.col("entity_id").alias("root"), F.col("entity_id").alias("here"))
     out = None
@@ -152,11 +167,64 @@ def concise(document: DataFrame) -> DataFrame:
 
     def shorten(_: Column, instances: Column) -> Column:
         first = F.get(instances, F.lit(0))
-        langs = F.map_from_entries(F.transform(instances, lambda i: F.struct(F.coalesce(i["lang"], F.lit("@none")), _plain(i))))
         return (
-            F.when(first["attribute_type"] == "LanguageProperty", F.to_json(F.create_map(F.lit("languageMap"), langs)))
+            F.when(first["attribute_type"] == "LanguageProperty", F.to_json(F.create_map(F.lit("languageMap"), _languages(instances))))
             .when(F.size(instances) > 1, F.to_json(F.transform(instances, lambda i: F.struct(i["dataset_id"].alias("datasetId"), _plain(i).alias("value")))))
             .otherwise(_plain(first))
         )
 
     return document.withColumn("document", F.transform_values("document", shorten))
+
+
+def linked_once(edges: DataFrame, roots: DataFrame, levels: int, pick: dict[int, list[str]] | None = None) -> DataFrame:
+    """``(root, level, via, entity_id)``: as ``linked``, but no node twice for a root, and along picked relationships only.
+
+    ``pick`` names the relationships that may be followed at a level; a level without an entry follows all. Each level's nodes
+    are those that no level before it had.
+    """
+    at = roots.select(F.col("entity_id").alias("root"), F.col("entity_id").alias("here"))
+    seen, out = at, None
+    for level in range(1, levels + 1):
+        along = edges.where(F.col("attribute_name").isin(pick[level])) if pick and level in pick else edges
+        step = at.join(along, F.col("here") == F.col("src")).groupBy("root", F.col("dst").alias("here")).agg(F.min("attribute_name").alias("via"))
+        step = step.join(seen, ["root", "here"], "left_anti")
+        named = step.select("root", F.lit(level).alias("level"), "via", F.col("here").alias("entity_id"))
+        out = named if out is None else out.unionByName(named)
+        at = step.select("root", "here")
+        seen = seen.unionByName(at)
+    return out
+
+
+def presence(entity: DataFrame, attribute: DataFrame, names: Iterable[str]) -> DataFrame:
+    """``(entity_id, found)``: whether an entity has a live value of one of the attributes; a request for none of them fails."""
+    some = attribute.where(live() & F.col("attribute_name").isin(list(names))).select("entity_id").distinct().withColumn("found", F.lit(True))
+    return entity.join(some, "entity_id", "left").select("entity_id", F.coalesce("found", F.lit(False)).alias("found"))
+
+
+def scope_values(history: DataFrame) -> DataFrame:
+    """Scopes over time in the simplified form: per entity ``[(scopes, time), ...]`` in order of time."""
+    pairs = F.sort_array(F.collect_list(F.struct("time", "value")))
+    return history.groupBy("entity_id").agg(F.transform(pairs, lambda p: F.struct(p["value"], p["time"])).alias("values"))
+
+
+def as_arrays(series: DataFrame, column: str) -> DataFrame:
+    """A normalized temporal attribute is an array even of one instance."""
+    kind = series.schema[column].dataType.typeName()
+    return series if kind == "array" else series.withColumn(column, F.array(column))
+
+
+def notification(attribute: DataFrame, names: Iterable[str], datasets: Iterable[str], terms: dict[str, str]) -> DataFrame:
+    """What a notification shows of entities: picked attributes, a dataset view, short names, key-values."""
+    rows = renamed(dataset_view(pick(attribute, names), datasets), terms, back=True)
+    return simplified(documents(rows))
+
+
+def wkt_point(lon: Column, lat: Column) -> Column:
+    return F.concat(F.lit("POINT ("), lon.cast("string"), F.lit(" "), lat.cast("string"), F.lit(")"))
+
+
+def point_of_wkt(text: Column) -> Column:
+    """A struct (lon, lat) of a point's text, heights left out; null for anything else."""
+    number = r"(-?[0-9.]+(?:[eE][-+]?[0-9]+)?)"
+    pattern = rf"^\s*POINT\s*Z?\s*\(\s*{number}\s+{number}(?:\s+{number})?\s*\)\s*$"
+    return F.when(text.rlike(pattern), F.struct(F.regexp_extract(text, pattern, 1).cast("double").alias("lon"), F.regexp_extract(text, pattern, 2).cast("double").alias("lat")))

@@ -123,7 +123,7 @@ def s19(spark, d):
 # Entity filters --------------------------------------------------------------------------------------------------------
 
 def entity_query(name: str, test: Callable[[], F.Column], sql: str) -> None:
-    query(name, f"SELECT entity_id FROM entity WHERE deleted_at IS NULL AND {sql}", "entity")(lambda spark, d: entities(spark, d).where(flt.live() & test()).select("entity_id"))
+    query(name, f"SELECT entity_id FROM entity WHERE deleted_at IS NULL AND {sql}", "entity")(lambda spark, d: entities(spark, d, scoped=name.startswith("F6")).where(flt.live() & test()).select("entity_id"))
 
 
 entity_query("F1_ids", lambda: flt.with_ids(["urn:Customer:1", "urn:Supplier:2"]), "entity_id IN ('urn:Customer:1', 'urn:Supplier:2')")
@@ -168,15 +168,16 @@ def f11(spark, d):
 
 def predicate_query(name: str, p: Callable[[], Predicate], sql: str) -> None:
     body = f"SELECT entity_id FROM entity e WHERE deleted_at IS NULL AND ({sql})"
-    query(name, body, "entity", "attribute")(lambda spark, d: where(entities(spark, d).where(flt.live()), attributes(spark, d), p()).select("entity_id"))
+    query(name, body, "entity", "attribute")(lambda spark, d: where(entities(spark, d, scoped=False).where(flt.live()), attributes(spark, d), p()).select("entity_id"))
 
 
 def some(test: str) -> str:
     return f"EXISTS (SELECT 1 FROM attribute a WHERE a.entity_id = e.entity_id AND a.deleted_at IS NULL AND {test})"
 
 
+MACHINERY = "attribute_name = 'segment' AND str = 'MACHINERY'"
 BALANCE, SEGMENT, LABEL = "attribute_name = 'balance' AND", "attribute_name = 'segment' AND", "attribute_name = 'label' AND"
-predicate_query("Q1_and_or", lambda: ((value("balance") > 9000) & present("segment")) | (value("segment") == "MACHINERY"), f"({some(BALANCE + ' num > 9000')} AND {some(SEGMENT + ' true')}) OR {some(SEGMENT + chr(32) + chr(115) + 'tr = ' + chr(39) + 'MACHINERY' + chr(39))}")
+predicate_query("Q1_and_or", lambda: ((value("balance") > 9000) & present("segment")) | (value("segment") == "MACHINERY"), f"({some(BALANCE + ' num > 9000')} AND {some(SEGMENT + ' true')}) OR {some(MACHINERY)}")
 predicate_query("Q2_exists", lambda: present("segment"), some("attribute_name = 'segment'"))
 predicate_query("Q3_not_exists", lambda: ~present("segment"), "NOT " + some("attribute_name = 'segment'"))
 predicate_query("Q6_number_at_least", lambda: value("balance") >= 8000, some(BALANCE + " num >= 8000"))
@@ -610,7 +611,15 @@ def t3(spark, d):
     return subs.matches(event_rows(spark, d), subscription_table(spark), "2024-01-01").select("sub_id", "event_id")
 
 
-@query("T5_throttle", "")
+T5_SQL = """WITH RECURSIVE instance AS (SELECT 'urn:User:' || user_id AS entity_id, event_type AS attribute_name, ts AS time, value AS measured_value, event_id AS instance_id FROM events),
+  matched AS (SELECT 's1' AS sub_id, instance_id AS event_id, time FROM instance WHERE attribute_name = 'click' AND measured_value >= 50
+    UNION ALL SELECT 's2', instance_id, time FROM instance WHERE regexp_matches(entity_id, 'r:[12]$') AND measured_value <= 20),
+  kept AS (SELECT sub_id, min((time, event_id)) AS k FROM matched GROUP BY sub_id
+    UNION ALL SELECT kept.sub_id, min((m.time, m.event_id)) FROM kept JOIN matched m ON m.sub_id = kept.sub_id AND m.time >= kept.k[1] + INTERVAL 1 HOUR GROUP BY kept.sub_id)
+  SELECT sub_id, k[2] AS event_id, k[1] AS time FROM kept"""
+
+
+@query("T5_throttle", T5_SQL)
 def t5(spark, d):
     return subs.throttled(subs.matches(event_rows(spark, d), subscription_table(spark), "2024-01-01"), 3600)
 
@@ -769,11 +778,11 @@ def u8(spark, d):
     return i.where("attribute_name = 'click'").select("entity_id").union(i.where("measured_value > 90").select("entity_id")).distinct()
 
 
-@query("L7_expiry_of_all_sources", "SELECT user_id, CASE WHEN count(e) = count(*) THEN max(e) END AS expires_at FROM (SELECT user_id, CASE WHEN event_id % 2 = 0 THEN ts END AS e FROM events WHERE event_id % 20 < 3) GROUP BY user_id")
+@query("L7_expiry_of_all_sources", "SELECT user_id, CASE WHEN count(e) = count(*) THEN max(e) END AS expires_at FROM (SELECT user_id, CASE WHEN user_id % 3 = 0 OR event_id % 2 = 0 THEN ts END AS e FROM events) GROUP BY user_id")
 def l7(spark, d):
     t = F.col("ts").cast("timestamp")
     none = F.array().cast("array<string>")
-    e = read(spark, d, "events").where("event_id % 20 < 3").select(F.col("user_id").alias("entity_id"), none.alias("types"), none.alias("scopes"), t.alias("created_at"), t.alias("modified_at"), F.when(F.col("event_id") % 2 == 0, t).alias("expires_at"))
+    e = read(spark, d, "events").select(F.col("user_id").alias("entity_id"), none.alias("types"), none.alias("scopes"), t.alias("created_at"), t.alias("modified_at"), F.when((F.col("user_id") % 3 == 0) | (F.col("event_id") % 2 == 0), t).alias("expires_at"))
     return federation.merge_members(e).select(F.col("entity_id").alias("user_id"), "expires_at")
 
 
@@ -847,3 +856,6 @@ def z5(spark, d):
 @query("Z2_granted", "SELECT unnest(['p2', 'p4']) AS id")
 def z2(spark, d):
     return access.granted(permissions(spark), ["ann"], "write").select("id")
+
+
+from meridion.plans import further  # noqa: E402, F401  (adds its queries)

@@ -9,12 +9,14 @@ dataset is the default instance.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The dataset of a default instance in requests.
 NONE = "@none"
-#: A patch value that deletes.
+#: Fixed value: the standard's null, which deletes in a patch.
 NULL = "urn:ngsi-ld:null"
 
 
@@ -51,8 +53,10 @@ def _days(n: Column) -> Column:
     return F.timestamp_seconds(F.unix_timestamp(F.lit("2024-01-01 00:00:00").cast("timestamp")) + n * 86400)
 
 
-def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = _placed(parties(spark, sf_dir), spark, sf_dir)
+def entities(spark: SparkSession, sf_dir: str, scoped: bool = True) -> DataFrame:
+    """All entities; ``scoped=False`` leaves the scopes null and spares the join that they take."""
+    p = parties(spark, sf_dir)
+    p = _placed(p, spark, sf_dir) if scoped else p.withColumn("scope", F.lit(None).cast("string"))
     k = F.col("key")
     created = _days(k % 365)
     return p.select(
@@ -71,31 +75,33 @@ def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All values of the parties' attributes in one scan each: a row's values are a small array that is exploded."""
+    """All values of the parties' attributes, a branch for each attribute.
+
+    A filter on the name leaves the other branches out of the plan, and one on the value reaches the scan of its column.
+    """
     p = parties(spark, sf_dir)
     k = F.col("key")
     none = F.lit(None).cast("string")
 
-    def value(name: str, kind: str, value_type: str, num: Column | None = None, text: Column | None = None, dataset: Column = none, lang: Column = none) -> Column:
-        return F.struct(
-            F.lit(name).alias("attribute_name"), F.lit(kind).alias("attribute_type"), F.lit(value_type).alias("value_type"), dataset.alias("dataset_id"),
+    def value(name: str, kind: str, value_type: str, num: Column | None = None, text: Column | None = None, dataset: Column = none, lang: Column = none, where: Column | None = None) -> DataFrame:
+        deleted = F.when(k % 23 == 0, _days(k % 365 + 3)) if name == "segment" else F.lit(None).cast("timestamp")
+        return (p if where is None else p.where(where)).select(
+            uri(F.col("kind"), k).alias("entity_id"), F.lit(name).alias("attribute_name"), F.lit(kind).alias("attribute_type"), F.lit(value_type).alias("value_type"), dataset.alias("dataset_id"),
             (F.lit(None).cast("double") if num is None else num.cast("double")).alias("num"), (none if text is None else text.cast("string")).alias("str"), lang.alias("lang"),
+            _days(k % 365).alias("created_at"), deleted.alias("deleted_at"),
         )
 
     has_segment = F.col("segment").isNotNull()
-    values = F.array(
+    values = (
         value("name", "Property", "STRING", text=F.col("name")),
         value("balance", "Property", "NUMBER", num=F.col("balance")),
-        F.when(k % 4 == 0, value("balance", "Property", "NUMBER", num=F.col("balance") * 2, dataset=F.lit("urn:dataset:alt"))),
-        F.when(has_segment, value("segment", "VocabProperty", "STRING", text=F.col("segment"))),
+        value("balance", "Property", "NUMBER", num=F.col("balance") * 2, dataset=F.lit("urn:dataset:alt"), where=k % 4 == 0),
+        value("segment", "VocabProperty", "STRING", text=F.col("segment"), where=has_segment),
         value("nation", "Relationship", "URI", text=uri("Nation", "nationkey")),
-        F.when(has_segment, value("label", "LanguageProperty", "STRING", text=F.lower("segment"), lang=F.lit("en"))),
-        F.when(has_segment & (k % 3 == 0), value("label", "LanguageProperty", "STRING", text=F.concat(F.lit("fr "), F.lower("segment")), lang=F.lit("fr"))),
-    )
-    return (
-        p.select(uri(F.col("kind"), k).alias("entity_id"), k.alias("key"), F.explode(F.filter(values, lambda v: v.isNotNull())).alias("v"))
-        .select("entity_id", "v.*", _days(F.col("key") % 365).alias("created_at"), F.when((F.col("key") % 23 == 0) & (F.col("v.attribute_name") == "segment"), _days(F.col("key") % 365 + 3)).alias("deleted_at"))
+        value("label", "LanguageProperty", "STRING", text=F.lower("segment"), lang=F.lit("en"), where=has_segment),
+        value("label", "LanguageProperty", "STRING", text=F.concat(F.lit("fr "), F.lower("segment")), lang=F.lit("fr"), where=has_segment & (k % 3 == 0)),
     )
+    return reduce(DataFrame.unionByName, values)
 
 
 def instances(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,7 +116,7 @@ def instances(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scope_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(entity_id, time, value array)``: a user's scopes by the kind of event, from ``events``."""
     e = read(spark, sf_dir, "events")
-    return e.where(F.col("event_id") % 10 == 0).select(
+    return e.select(
         uri("User", "user_id").alias("entity_id"), F.col("ts").cast("timestamp").alias("time"),
         F.transform(F.sequence(F.lit(0), (F.col("event_id") % 3).cast("int")), lambda i: F.concat(F.lit("/"), F.col("event_type"), F.lit("/"), i.cast("string"))).alias("value"),
     )
@@ -146,7 +152,7 @@ SQL = {
       UNION ALL SELECT 'urn:' || kind || ':' || key, key, 'label', 'LanguageProperty', 'STRING', NULL, NULL, lower(segment), 'en' FROM party WHERE segment IS NOT NULL
       UNION ALL SELECT 'urn:' || kind || ':' || key, key, 'label', 'LanguageProperty', 'STRING', NULL, NULL, 'fr ' || lower(segment), 'fr' FROM party WHERE segment IS NOT NULL AND key % 3 = 0)""",
     "instance": """SELECT 'urn:User:' || user_id AS entity_id, event_type AS attribute_name, ts AS time, value AS measured_value, event_id AS instance_id, props AS payload FROM events""",
-    "scope_history": """SELECT 'urn:User:' || user_id AS entity_id, ts AS time, list_transform(range(0, event_id % 3 + 1), lambda i: '/' || event_type || '/' || i) AS value FROM events WHERE event_id % 10 = 0""",
+    "scope_history": """SELECT 'urn:User:' || user_id AS entity_id, ts AS time, list_transform(range(0, event_id % 3 + 1), lambda i: '/' || event_type || '/' || i) AS value FROM events""",
     "edge": """SELECT 'urn:Order:' || o_orderkey AS src, 'customer' AS attribute_name, 'urn:Customer:' || o_custkey AS dst FROM orders
       UNION ALL SELECT 'urn:Customer:' || c_custkey, 'nation', 'urn:Nation:' || c_nationkey FROM customer
       UNION ALL SELECT 'urn:Nation:' || n_nationkey, 'region', 'urn:Region:' || n_regionkey FROM nation""",

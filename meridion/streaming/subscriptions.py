@@ -164,3 +164,42 @@ def latest_points(stored: DataFrame) -> DataFrame:
 def bookkeeping(matched: DataFrame) -> DataFrame:
     """``(sub_id, times_sent, last_notification)`` after the matched events are sent."""
     return matched.groupBy("sub_id").agg(F.count("*").alias("times_sent"), F.max("time").alias("last_notification"))
+
+
+def triggered(events: DataFrame, trigger: str) -> DataFrame:
+    """Events that a trigger stands for: ``entityUpdated`` is any change of an attribute."""
+    return events.where(F.col("trigger").isin(list(UPDATED)) if trigger == "entityUpdated" else F.col("trigger") == trigger)
+
+
+def merged_selectors(selector: DataFrame) -> DataFrame:
+    """``(sub_id, types, patterns, ids)``: the entity selectors of each subscription together."""
+    return selector.groupBy("sub_id").agg(F.array_sort(F.collect_set("type")).alias("types"), F.array_sort(F.collect_set("id_pattern")).alias("patterns"), F.array_sort(F.collect_set("id")).alias("ids"))
+
+
+def selected_events(events: DataFrame, selector: DataFrame) -> DataFrame:
+    """``(sub_id, event_id)``: events that one of a subscription's selectors wants; an equi-join on the type."""
+    rows = events.withColumn("type", F.explode("types"))
+    hit = rows.join(selector, "type").where((F.col("id").isNull() | (F.col("entity_id") == F.col("id"))) & (F.col("id_pattern").isNull() | F.regexp_like("entity_id", F.col("id_pattern"))))
+    return hit.select("sub_id", "event_id").distinct()
+
+
+def faults(subscription: DataFrame, now: str) -> DataFrame:
+    """``(sub_id, fault)`` of subscriptions that can't be accepted."""
+    t = F.lit(now).cast("timestamp")
+    found = F.array(
+        F.when(F.col("type").isNull() & F.col("watched").isNull(), F.lit("neither entities nor attributes")),
+        F.when(F.col("interval").isNotNull() & F.col("watched").isNotNull(), F.lit("interval and watched attributes")),
+        F.when(F.col("interval") <= 0, F.lit("interval not positive")),
+        F.when(F.col("expires_at") < t, F.lit("expired")),
+        F.when(F.size(F.array_except("triggers", F.array(*[F.lit(x) for x in (*TRIGGERS.values(), "entityUpdated")]))) > 0, F.lit("unknown trigger")),
+        F.when(F.col("least") > F.col("most"), F.lit("empty range")),
+    )
+    return subscription.select("sub_id", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("fault"))
+
+
+def matching_events(events: DataFrame, values: DataFrame, predicate) -> DataFrame:
+    """Events whose entity, as the event shows it, fulfils a predicate; ``values`` has attribute rows keyed by ``event_id``."""
+    from meridion.operators.predicates import where
+
+    rows = values.drop("entity_id").withColumnRenamed("event_id", "entity_id")
+    return where(events.withColumnRenamed("entity_id", "of").withColumnRenamed("event_id", "entity_id"), rows, predicate).withColumnRenamed("entity_id", "event_id").withColumnRenamed("of", "entity_id")
