@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meridion.llm.common import as_long, components, fixed_rows, grouped, in_arrow, materialise, slices
+from meridion.llm.common import as_long, components, fixed_rows, grouped, in_arrow, local_roots, materialise, slices
 from meridion.llm.shingles import distinct, mixed, shingle_sets, signature
 
 SLICE = 1000
@@ -215,19 +215,6 @@ def best_strangers(cells: DataFrame, least: int) -> DataFrame:
     return in_arrow(cells, run, "a long, b long, same int")
 
 
-def strangers(cells: DataFrame, least: int) -> DataFrame:
-    """``(a, b)``: the candidates of each region."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for cell in grouped(batches, ["region", "c", "d"]):
-            ids = cell.column("id").to_numpy()
-            i, j, _ = candidates(cell, least)
-            p, q = ids[i], ids[j]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], names=["a", "b"])
-
-    return in_arrow(cells, run, "a long, b long").distinct()
-
-
 def surviving(cells: DataFrame, least: int) -> DataFrame:
     """The rows ``(region, c, d, id, comp, odd)`` of each cell that are in some candidate pair of odd and other rows."""
     names = ["region", "c", "d", "id", "comp", "odd"]
@@ -270,7 +257,7 @@ def shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray
 
 
 def crossed(cells: DataFrame, percent: int) -> DataFrame:
-    """``(src, dst)``: links between an odd row and the rows of other components in its cell, one for each component."""
+    """``(src, dst)``: trees of the links between odd rows and rows of other components in a cell, at most a link a row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cell in grouped(batches, ["region", "c", "d"]):
@@ -284,8 +271,10 @@ def crossed(cells: DataFrame, percent: int) -> DataFrame:
             both = shared_counts([sets[k] for k in x], [sets[k] for k in y])
             linked = (100 * both >= percent * (size[x][:, None] + size[y][None, :] - both)) & (comp[x][:, None] != comp[y][None, :])
             i, j = np.nonzero(linked)
-            _, one = np.unique(np.stack([i, comp[y[j]]]), axis=1, return_index=True)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[x[i[one]]]), pa.array(ids[y[j[one]]])], names=["src", "dst"])
+            names, place = np.unique(ids, return_inverse=True)
+            root = local_roots(len(names), place[x[i]], place[y[j]])
+            far = np.flatnonzero(root != np.arange(len(names)))
+            yield pa.RecordBatch.from_arrays([pa.array(names[far]), pa.array(names[root[far]])], names=["src", "dst"])
 
     return in_arrow(cells, run, "src long, dst long")
 
@@ -365,9 +354,8 @@ def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, seed: int
     4. Second round, for regions (classes that agree in the first four minima of an order) that still hold several components:
        each class outside the largest of them and the class of another component that shares most minima with it.
     5. Third round, for what is still apart: every class outside a region's largest component against all of the region that
-       shares enough minima. In small regions such pairs are confirmed; in large ones the sets of the classes that are in such
-       pairs are compared block against block. So what the first rounds left out is made good, without pairs inside a
-       component.
+       shares enough minima. The whole sets of the classes that are in such pairs are compared block against block, and a block
+       gives a tree of links. So what the first rounds left out is made good, without pairs inside a component.
     A pair at the similarity is missed only where it is no candidate, shares no region in any order (about 2 in 10,000 at
     0.8, none at 1) or shares fewer than 36 of 64 minima (about 3 in a million), and then found only through other documents
     that link the two.
@@ -426,14 +414,12 @@ def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, seed: int
     links = materialise(links.unionByName(confirmed(second, sets, percent)))
 
     rows = opened(components(links))
-    # Small regions give pairs to confirm. Of large ones, blocks of signatures say whose whole sets are needed; those are
-    # compared block against block, and only links come out.
-    third = strangers(blocks(rows.where(F.col("m") <= 4 * REGION)), least)
-    third = materialise(third.join(first.unionByName(second), ["a", "b"], "left_anti"))
-    left = materialise(surviving(blocks(rows.where(F.col("m") > 4 * REGION)), least))
-    sets = with_sets(sets, ends(third).unionByName(left.select("id")).distinct())
+    # Blocks of signatures say whose whole sets are needed; those are compared block against block, and only trees of links
+    # come out, never the candidates.
+    left = materialise(surviving(blocks(rows), least))
+    sets = with_sets(sets, left.select("id").distinct())
     left = left.join(sets, "id").repartition("region", "c", "d").sortWithinPartitions("region", "c", "d")
-    more = materialise(confirmed(third, sets, percent).unionByName(crossed(left, percent)))
+    more = materialise(crossed(left, percent))
     final = components(links.unionByName(more))
 
     labelled = classes.select("h1", "h2", "n", "id").join(final, "id", "left").select("h1", "h2", "n", F.coalesce("component_id", "id").alias("component_id"))
